@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +69,7 @@ def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the strings of ``column`` stay below ``limit`` bytes a piece (one row at least)."""
-    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:

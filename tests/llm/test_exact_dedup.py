@@ -18,7 +18,7 @@ ROWS = [(1, "Abc"), (2, "aBC"), (3, "abc "), (4, None), (5, ""), (None, "abc"),
 
 
 def check(spark, rows, **options):
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumnsRenamed({}).selectExpr("*", "7 AS kept", "'s' AS sha", "doc_id AS rid")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("*", "7 AS kept", "'s' AS sha", "doc_id AS rid")
     got = exact_dedup.classify(docs, **options).collect()
     assert len(got) == len(rows)
     groups = brute(rows)
