@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, quality
+from tessera.llm import bpe, exact_dedup, mixing, quality, simhash
 from tessera.llm.common import materialize, read
+from tessera.llm.queries import vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +23,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids in place of the text."""
+    return bpe.encode(docs, vocabulary_path())
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
     ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing to target weights", mixed),
+    ("BPE encoding", encoded),
 ]
 
 #: The certified cutoffs and the connected components have no closed SQL form; tests/llm compares with brute force.

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, quality
-from tessera.llm.common import read
+from tessera.llm import bpe, exact_dedup, html_extract, language_id, line_dedup, mixing, quality, simhash, substring_dedup, toxicity
+from tessera.llm.common import read, train_fold
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -22,6 +22,34 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(read(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), train_fold(F.col("doc_id"), 5) == 0
+    found = language_id.identify(docs, language_id.learn(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find(read(spark, sf_dir, "documents")).drop("mark")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read(spark, sf_dir, "documents"), train_fold(F.col("doc_id"), 4) == 2
+    found = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels"), ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.place(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -30,12 +58,28 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify(read(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classify(read(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_quality_rules, op8_exact_dedup, op10_bpe)
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_language_id,
+        op3_html_extraction,
+        op4_substring_dedup,
+        op5_toxicity,
+        op6_source_mixing,
+        op7_quality_rules,
+        op8_exact_dedup,
+        op9_simhash,
+        op10_bpe,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
