@@ -23,7 +23,9 @@ BROADCAST_LIMIT = 8 << 20
 #: Bytes of text that a Python worker holds at once, whatever the size of a document batch.
 SLICE_BYTES = 16 << 20
 
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ours: list[tuple[SparkSession, str]] = []
+_path_of: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,18 +47,43 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    with _files_go(spark):
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     _ours.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[id(out)] = path
+    return out
+
+
+@contextlib.contextmanager
+def _files_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside are deleted when each ends: their results are tables by then."""
+    before = spark.conf.get(_FILE_CLEANUP, None)
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FILE_CLEANUP) if before is None else spark.conf.set(_FILE_CLEANUP, before)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    path = _path_of.pop(id(table), None)
+    for entry in [e for e in _ours if e[1] == path]:
+        _ours.remove(entry)
+        _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def clean_scratch() -> None:
     """Delete the shared tables written by this process. Results that still read them become invalid."""
     while _ours:
-        spark, path = _ours.pop()
-        with contextlib.suppress(Exception):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(*_ours.pop())
 
 
 atexit.register(clean_scratch)
