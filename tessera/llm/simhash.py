@@ -45,6 +45,8 @@ BLOCK = 2048
 WIDE_ABOVE = 1 << 22
 #: Shingle hashes whose bits are counted at once.
 _STEP = 1 << 15
+#: Ids that may be broadcast (each eight bytes).
+SMALL = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -204,13 +206,17 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text").cast("string")).alias("fp")), "simhash")
     placed = materialize(rows.join(_grouped(rows), "fp"), "placed")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    picked = placed.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(stays).alias("__stays")).where("__stays")
-    picked = materialize(picked, "kept-ids")
+    ids = placed.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(stays).alias("__stays"))
+    ids = materialize(ids, "kept-ids")
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    kept = whole.join(picked, whole["doc_id"].eqNullSafe(picked["__id"]))
-    single = kept.where("__n = 1").select("row.*")
-    if picked.where("__n > 1").limit(1).count() == 0:
+    gone = ids.where("not __stays or __n > 1")
+    if gone.limit(SMALL + 1).count() <= SMALL:  # few go: no need to move the texts
+        single = whole.join(F.broadcast(gone), whole["doc_id"].eqNullSafe(gone["__id"]), "left_anti").select("row.*")
+    else:
+        single = whole.join(ids.where("__stays and __n = 1"), whole["doc_id"].eqNullSafe(ids["__id"])).select("row.*")
+    kept = whole.join(ids.where("__stays and __n > 1"), whole["doc_id"].eqNullSafe(ids["__id"]))
+    if ids.where("__stays and __n > 1").limit(1).count() == 0:
         return single
-    again = kept.where("__n > 1").select("row", "doc_id", fingerprints(F.col("row.text").cast("string")).alias("fp"))
+    again = kept.select("row", "doc_id", fingerprints(F.col("row.text").cast("string")).alias("fp"))
     again = again.join(placed.select("fp", "root", "component_id").distinct(), "fp").where(stays)
     return single.unionByName(again.groupBy("root").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row")).select("row.*"))
