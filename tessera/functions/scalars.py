@@ -178,10 +178,15 @@ def schema_location_column(text: Column) -> Column:
     return F.when(value != "", F.element_at(F.split(F.trim(value), r"\s+"), -1))
 
 
+def _vectorized(f: Callable[[str], object]) -> Callable[[pa.Array], pa.Array]:
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else f(t) for t in texts.to_pylist()], pa.string())
+
+    return run
+
+
 def register(spark: SparkSession) -> None:
     """The scalars as SQL functions (xml_decode, xml_escape, ...)."""
     functions: dict[str, Callable[[str], object]] = {"xml_decode": decode_entities, "xml_escape": escape_xml, "xml_local_name": local_name, "xml_guess_type": guess_type, "xml_leaf_text": leaf_text}
     for name, f in functions.items():
-        run = lambda texts, f=f: pa.array([None if t is None else f(t) for t in texts.to_pylist()], pa.string())
-        run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-        spark.udf.register(name, F.arrow_udf(run, "string"))
+        spark.udf.register(name, F.arrow_udf(_vectorized(f), "string"))
