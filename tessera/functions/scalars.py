@@ -160,9 +160,10 @@ def ascii_fold_column(c: Column) -> Column:
 
 
 def human_column(n: Column) -> Column:
-    out = F.format_string("%.2f TiB", n / float(1 << 40))
+    shown = lambda scale: F.bround(n / float(scale), 2)  # noqa: E731  half to even, like Python's format
+    out = F.format_string("%.2f TiB", shown(1 << 40))
     for unit, scale in (("GiB", 1 << 30), ("MiB", 1 << 20), ("KiB", 1 << 10)):
-        out = F.when(n < scale * 1024, F.format_string(f"%.2f {unit}", n / float(scale))).otherwise(out)
+        out = F.when(n < scale * 1024, F.format_string(f"%.2f {unit}", shown(scale))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
