@@ -10,8 +10,8 @@ is part of the site's frame.
     leaf      1 - mean over contents of log(pages with it) / log(pages with the node)
     inner     (1 - g^l) * entropy of presentations + g^l * mean importance of children
 
-with l children and g = ``DECAY``. Branches below ``THRESHOLD`` are removed from
-each page of the host. Presentation can also state a role outright: elements for
+with l children and g = ``DECAY``. Branches that are below ``THRESHOLD`` with all
+that hangs on them are removed from each page of the host. Presentation can also state a role outright: elements for
 navigation, forms, adverts, comments and so on have importance 0, and those for
 the article itself 1, whatever their entropies (a host may show one article often).
 If a page has an article, its text is that; otherwise it is what is left of the body.
@@ -280,7 +280,11 @@ def composite(nodes: pd.DataFrame) -> list[int]:
         inner = sum(parts) / len(parts) if parts else r.looks
         weight = DECAY ** len(below)
         importance[p] = (1 - weight) * max(r.looks, inner) + weight * inner if below else inner
-    return [p for p in order if importance[p] < THRESHOLD]
+    noise: set[int] = set()
+    for p in reversed(order):
+        if importance[p] < THRESHOLD and all(c in noise for c in children.get(p, [])):
+            noise.add(p)
+    return sorted(noise)
 
 
 def frames(pages: DataFrame) -> DataFrame:

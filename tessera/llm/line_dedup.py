@@ -15,8 +15,8 @@ Everything is counted with grouped sums over hashes of tokens, so a leaf of any
 size spreads over tasks; nothing depends on the order of lines.
 
 Inputs: null text has no lines and stays null; lines without a token are kept.
-Lines of any length are parsed whole. Repeated rows count as documents of their
-own. Extra columns are ignored. Empty tables give empty results.
+Lines of any length are parsed whole. Rows that repeat both id and text are one
+document where the documents of a template are counted. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
