@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import decode_entities
-from tessera.operators.scanner import Index, ScanConfig, Scanner
+from tessera.operators.scanner import Index, ScanConfig, Scanner, scan_bytes
+from tessera.operators.vector_scan import MIN_BYTES, vector_scan
 
 FIELDS = (
     ("doc_id", "long", pa.int64()),
@@ -176,6 +177,13 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(columns, FIELDS)], [n for n, _, _ in FIELDS])
 
 
+def structure(content: bytes, full: bool = True) -> Index:
+    """The index of a document without contents; large regular documents take the array path."""
+    if len(content) >= MIN_BYTES and (index := vector_scan(content, full=full)) is not None:
+        return index
+    return scan_bytes(content, ScanConfig(contents=False))
+
+
 def totals(documents: DataFrame) -> DataFrame:
     """doc_id and the document counters only: no node rows are made."""
 
@@ -183,10 +191,8 @@ def totals(documents: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for raw in batch.column("content"):
-                scanner = Scanner(ScanConfig(contents=False))
-                scanner.feed(raw.as_py() or b"")
-                ix = scanner.finish()
-                out.append((ix.file_len, ix.line_count, ix.total_elements, ix.indexed, ix.total_attributes, ix.max_depth, ix.error_count))
+                ix = structure(raw.as_py() or b"", full=False)
+                out.append((ix.file_len, ix.line_count, ix.total_elements, ix.total_elements, ix.total_attributes, ix.max_depth, ix.error_count))
             columns = list(zip(*out)) if out else [()] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *COUNTS])
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.scan import structure
 from tessera.operators.scanner import PENDING, UNKNOWN, Diagnostic, Index, ScanConfig, Scanner
 
 MAGIC, VERSION, HEADER_BYTES, PARTIAL = b"XSI1", 1, 112, 1
@@ -132,8 +133,12 @@ def index_files(documents: DataFrame, config: ScanConfig = ScanConfig(contents=F
         for batch in batches:
             out = []
             for raw in batch.column("content"):
+                content = raw.as_py() or b""
+                if not partial and config == ScanConfig(contents=False):
+                    out.append(encode(structure(content)))
+                    continue
                 scanner = Scanner(config)
-                scanner.feed(raw.as_py() or b"")
+                scanner.feed(content)
                 out.append(encode(scanner.snapshot() if partial else scanner.finish(), partial))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "index_file"])
 
