@@ -7,7 +7,7 @@ A document is a row, so documents scan in parallel; one pass produces every view
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +38,7 @@ FIELDS = (
 SCHEMA = ", ".join(f"`{n}` {t}" for n, t, _ in FIELDS)
 COUNTS = ("bytes", "lines", "elements", "indexed", "attributes", "max_depth", "errors")
 FLUSH_ROWS = 50_000
+_STRUCTURE = ScanConfig(contents=False)
 
 
 def paths(index: Index) -> tuple[list[str], list[str], list[int]]:
@@ -68,74 +69,125 @@ def leaf_texts(index: Index, content: bytes) -> list[str | None]:
     return [None if p is None else "".join(p).strip() for p in parts]
 
 
-def rows_of(doc_id: int | None, content: bytes, index: Index) -> Iterator[tuple]:
-    """The node rows of one scanned document."""
-    names = [n.decode("utf-8", "replace") for n in index.names]
-    full, plain, place = paths(index)
-    texts = leaf_texts(index, content)
-    nul = (None,) * 3
-    known = lambda end: end if end >= 0 else None
-    for i in range(len(index.start)):
-        yield doc_id, "elem", i, index.parent[i], index.depth[i], index.start[i], known(index.end[i]), index.line[i], None, names[index.name[i]], texts[i], place[i], full[i], plain[i], None, None
-    number, last = 0, -1
-    for element, name, start, end in index.attributes:
-        number, last = (number + 1 if element == last else 1), element
-        value = decode_entities(content[start:end].decode("utf-8", "replace"))
-        yield doc_id, "attr", element, None, index.depth[element], start, end, None, None, name.decode("utf-8", "replace"), value, number, *nul, None
-    for number, (parent, kind, start, end) in enumerate(index.contents):
-        raw = content[start:end].decode("utf-8", "replace")
-        target = None
-        if kind == "text":
-            raw = decode_entities(raw)
-        elif kind == "pi":
-            target, _, raw = raw.partition(" ")
-        yield doc_id, kind, None, parent, None, start, end, None, None, target, raw, number, *nul, None
-    for number, e in enumerate(index.errors):
-        yield doc_id, "diag", None, None, None, e.offset, None, e.line, e.col, e.code, e.msg, number, e.severity, None, e.fix, None
-    for block, start in enumerate(index.checkpoints):
-        yield doc_id, "mark", None, None, None, start, None, None, None, None, None, block, *nul, None
-    totals = [index.file_len, index.line_count, index.total_elements, index.indexed, index.total_attributes, index.max_depth, index.error_count]
-    yield doc_id, "stat", None, None, None, None, None, None, None, None, None, None, *nul, totals
+#: The groups of kinds a scan can be asked for, with the columns each fills.
+GROUPS: dict[str, tuple[str, ...]] = {
+    "elem": ("doc_id", "elem_id", "parent", "depth", "start", "end", "line", "name", "value", "ord", "path", "path_names"),
+    "attr": ("doc_id", "elem_id", "depth", "start", "end", "name", "value", "ord"),
+    "content": ("doc_id", "kind", "parent", "start", "end", "name", "value", "ord"),
+    "diag": ("doc_id", "start", "line", "col", "name", "value", "ord", "path", "fix"),
+    "mark": ("doc_id", "start", "ord"),
+    "stat": ("doc_id", "counts"),
+}
+ALL = frozenset(GROUPS)
+_TYPES = {n: t for n, _, t in FIELDS}
+
+
+class NodeColumns:
+    """Node rows of many documents, gathered as columns by group of kinds."""
+
+    def __init__(self, groups: frozenset[str]):
+        self.groups = groups
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns = {g: {c: [] for c in GROUPS[g]} for g in self.groups}
+        self.rows = 0
+
+    def _add(self, group: str, doc_id: int | None, n: int, **columns) -> None:
+        own = self.columns[group]
+        own["doc_id"] += [doc_id] * n
+        for name, values in columns.items():
+            own[name] += values
+        self.rows += n
+
+    def add(self, doc_id: int | None, content: bytes, index: Index) -> None:
+        text = lambda a, b: content[a:b].decode("utf-8", "replace")
+        groups, n = self.groups, len(index.start)
+        if "elem" in groups:
+            names = [x.decode("utf-8", "replace") for x in index.names]
+            full, plain, place = paths(index)
+            self._add("elem", doc_id, n, elem_id=range(n), parent=index.parent, depth=index.depth, start=index.start, end=[e if e >= 0 else None for e in index.end], line=index.line, name=[names[k] for k in index.name], value=leaf_texts(index, content), ord=place, path=full, path_names=plain)
+        if "attr" in groups and index.attributes:
+            element, name, start, end = zip(*index.attributes)
+            number, last, numbers = 0, -1, []
+            for e in element:
+                number, last = (number + 1 if e == last else 1), e
+                numbers.append(number)
+            self._add("attr", doc_id, len(element), elem_id=element, depth=[index.depth[e] for e in element], start=start, end=end, name=[x.decode("utf-8", "replace") for x in name], value=[decode_entities(text(i, j)) for i, j in zip(start, end)], ord=numbers)
+        if "content" in groups and index.contents:
+            parent, kind, start, end = zip(*index.contents)
+            raw = [text(i, j) for i, j in zip(start, end)]
+            split = [r.partition(" ") if k == "pi" else (None, None, decode_entities(r) if k == "text" else r) for k, r in zip(kind, raw)]
+            self._add("content", doc_id, len(kind), kind=kind, parent=parent, start=start, end=end, name=[x[0] for x in split], value=[x[2] for x in split], ord=range(len(kind)))
+        if "diag" in groups and index.errors:
+            e = index.errors
+            self._add("diag", doc_id, len(e), start=[x.offset for x in e], line=[x.line for x in e], col=[x.col for x in e], name=[x.code for x in e], value=[x.msg for x in e], ord=range(len(e)), path=[x.severity for x in e], fix=[x.fix for x in e])
+        if "mark" in groups:
+            self._add("mark", doc_id, len(index.checkpoints), start=index.checkpoints, ord=range(len(index.checkpoints)))
+        if "stat" in groups:
+            self._add("stat", doc_id, 1, counts=[[index.file_len, index.line_count, index.total_elements, index.indexed, index.total_attributes, index.max_depth, index.error_count]])
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for group, own in self.columns.items():
+            n = len(own["doc_id"])
+            if n:
+                made = {c: pa.array(values, _TYPES[c]) for c, values in own.items()}
+                made.setdefault("kind", pa.repeat(group, n))
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else pa.nulls(n, t) for c, _, t in FIELDS], [c for c, _, _ in FIELDS])
+        self.clear()
 
 
 class Scan:
-    """All relations of a scan. Each is a filter and a projection of the same pass."""
+    """All relations of a scan. Unless the scan is persisted, each view scans for its own kinds of rows only."""
+
+    def __init__(self, narrow: DataFrame, config: ScanConfig, complete: bool):
+        self._documents, self._config, self._complete = narrow, config, complete
+        self._all: DataFrame | None = None
 
-    def __init__(self, nodes: DataFrame):
-        self.nodes = nodes
+    @property
+    def nodes(self) -> DataFrame:
+        """The long table of all rows."""
+        return self._all if self._all is not None else _nodes(self._documents, self._config, self._complete, ALL)
 
     def persist(self) -> Scan:
-        self.nodes.persist()
+        self._all = self.nodes.persist()
         return self
 
     def unpersist(self) -> Scan:
-        self.nodes.unpersist()
+        if self._all is not None:
+            self._all.unpersist()
+            self._all = None
         return self
 
-    @cached_property
+    def _view(self, group: str) -> DataFrame:
+        if self._all is None:
+            return _nodes(self._documents, self._config, self._complete, frozenset((group,)))
+        return self._all.where(F.col("kind").isin("text", "cdata", "comment", "pi") if group == "content" else F.col("kind") == group)
+
+    @property
     def elements(self) -> DataFrame:
-        return self.nodes.where("kind = 'elem'").select("doc_id", "elem_id", "parent", "depth", "name", "start", "end", "line", F.col("ord").alias("sib_pos"), "path", "path_names", F.col("value").alias("text"))
+        return self._view("elem").select("doc_id", "elem_id", "parent", "depth", "name", "start", "end", "line", F.col("ord").alias("sib_pos"), "path", "path_names", F.col("value").alias("text"))
 
-    @cached_property
+    @property
     def attributes(self) -> DataFrame:
-        return self.nodes.where("kind = 'attr'").select("doc_id", "elem_id", F.col("ord").alias("attr_no"), "name", "value", "depth")
+        return self._view("attr").select("doc_id", "elem_id", F.col("ord").alias("attr_no"), "name", "value", "depth")
 
-    @cached_property
+    @property
     def texts(self) -> DataFrame:
         """Text, cdata, comment and pi nodes; elem_id is the element they are in (-1 outside the root)."""
-        return self.nodes.where("kind in ('text', 'cdata', 'comment', 'pi')").select("doc_id", F.col("parent").alias("elem_id"), F.col("ord").alias("node_no"), "kind", "name", "value", "start", "end")
+        return self._view("content").select("doc_id", F.col("parent").alias("elem_id"), F.col("ord").alias("node_no"), "kind", "name", "value", "start", "end")
 
-    @cached_property
+    @property
     def diagnostics(self) -> DataFrame:
-        return self.nodes.where("kind = 'diag'").select("doc_id", F.col("ord").alias("seq"), F.col("name").alias("code"), F.col("start").alias("offset"), "line", "col", F.col("path").alias("severity"), F.col("value").alias("msg"), "fix")
+        return self._view("diag").select("doc_id", F.col("ord").alias("seq"), F.col("name").alias("code"), F.col("start").alias("offset"), "line", "col", F.col("path").alias("severity"), F.col("value").alias("msg"), "fix")
 
-    @cached_property
+    @property
     def checkpoints(self) -> DataFrame:
-        return self.nodes.where("kind = 'mark'").select("doc_id", F.col("ord").alias("block"), "start")
+        return self._view("mark").select("doc_id", F.col("ord").alias("block"), "start")
 
-    @cached_property
+    @property
     def stats(self) -> DataFrame:
-        return self.nodes.where("kind = 'stat'").select("doc_id", *(F.col("counts")[i].alias(n) for i, n in enumerate(COUNTS)))
+        return self._view("stat").select("doc_id", *(F.col("counts")[i].alias(n) for i, n in enumerate(COUNTS)))
 
     def report(self, names: DataFrame | None = None) -> DataFrame:
         """Lines of the form path:line:col: severity: message, with the repair below."""
@@ -155,26 +207,31 @@ def scan(documents: DataFrame, config: ScanConfig = ScanConfig(), prefix: int |
     if prefix is not None:
         content = F.substring(content, 1, prefix)
 
+    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("content"))
+    return Scan(narrow, config, complete)
+
+
+def _nodes(narrow: DataFrame, config: ScanConfig, complete: bool, groups: frozenset[str]) -> DataFrame:
+    contents = config.contents and bool(groups & {"elem", "attr", "content"})
+    config = replace(config, contents=contents)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        rows = NodeColumns(groups)
         for batch in batches:
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
                 raw = raw.as_py() or b""
-                scanner = Scanner(config)
-                scanner.feed(raw)
-                rows += rows_of(doc_id, raw, scanner.finish() if complete else scanner.snapshot())
-                if len(rows) >= FLUSH_ROWS:
-                    yield batch_of(rows)
-                    rows = []
-        yield batch_of(rows)
-
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("content"))
-    return Scan(narrow.mapInArrow(run, SCHEMA))
-
-
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(FIELDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(columns, FIELDS)], [n for n, _, _ in FIELDS])
+                if complete and config == _STRUCTURE and len(raw) >= MIN_BYTES:
+                    index = structure(raw)
+                else:
+                    scanner = Scanner(config)
+                    scanner.feed(raw)
+                    index = scanner.finish() if complete else scanner.snapshot()
+                rows.add(doc_id, raw, index)
+                if rows.rows >= FLUSH_ROWS:
+                    yield from rows.flush()
+        yield from rows.flush()
+
+    return narrow.mapInArrow(run, SCHEMA)
 
 
 def structure(content: bytes, full: bool = True) -> Index:
