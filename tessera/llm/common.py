@@ -94,6 +94,21 @@ def small_side(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+#: Keys with more than this share of all rows are hot; there are at most its inverse of them.
+HOT_SHARE = 1e-4
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join with ``right``, whose ``keys`` are unique and whose column ``size`` counts their rows in ``left``.
+
+    Keys that hold more than HOT_SHARE of the ``total`` rows are few by arithmetic;
+    they are broadcast and their rows never meet in one task. No other key has more.
+    """
+    hot = right.where(F.col(size) > F.lit(total * HOT_SHARE))
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(right.where(F.col(size) <= F.lit(total * HOT_SHARE)), keys))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the strings of ``column`` stay below ``limit`` bytes a piece (one row at least)."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

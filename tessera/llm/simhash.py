@@ -34,10 +34,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, join_hot, materialize
 from tessera.llm.exact_dedup import LOWER
 
 SHINGLE, SEED, TAU, SEGMENTS, WIDTH = 3, 42, 3, 4, 16
@@ -164,9 +164,16 @@ def links(distinct: DataFrame, block: int = BLOCK, wide_above: int = WIDE_ABOVE)
     return pairs.mapInArrow(connect, "u long, v long").distinct()
 
 
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and hash sum, observed while they are written."""
+    seen = Observation()
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), "edges")
+    return table, (seen.get["n"], seen.get["s"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node with an edge. Large-star and small-star rounds."""
-    edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"), "edges")
+    edges, mark = _stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v"))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -174,26 +181,26 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         new = small.select(F.col("u"), F.col("m").alias("v")).union(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct()
-        new = materialize(new, "edges")
-        mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark(new) == mark(edges):
+        new, found = _stored(new)
+        discard(edges)
+        if found == mark:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = new
+        edges, mark = new, found
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    """fp to component_id, for the fingerprints ``fp`` of rows with ``doc_id``."""
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    """fp, its rows, root and component_id, for the fingerprints ``fp`` of rows with ``doc_id``."""
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "fingerprints")
     found = components(links(distinct))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(best, "root").select("fp", "root", "component_id")
+    return rooted.join(best, "root").select("fp", "rows", "root", "component_id")
 
 
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every row."""
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text").cast("string")).alias("fp")), "simhash")
-    joined = rows.join(_grouped(rows).drop("root"), "fp")  # adaptive execution splits the partition of a hot fingerprint
+    joined = join_hot(rows, materialize(_grouped(rows), "components"), ["fp"], "rows", rows.count())
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -204,7 +211,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     repeat the smallest id in one component the first in text order stays.
     """
     rows = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprints(F.col("text").cast("string")).alias("fp")), "simhash")
-    placed = materialize(rows.join(_grouped(rows), "fp"), "placed")
+    placed = materialize(join_hot(rows, materialize(_grouped(rows), "components"), ["fp"], "rows", rows.count()).drop("rows"), "placed")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = placed.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(stays).alias("__stays"))
     ids = materialize(ids, "kept-ids")

@@ -10,3 +10,11 @@ def test_shuffle_files_go_with_the_table(spark):
     assert os.path.isdir(path) and df.count() == 1000
     common.discard(df)
     assert not os.path.isdir(path)
+
+
+def test_join_hot_is_the_inner_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 0.3)
+    left = spark.createDataFrame([(1, i) for i in range(6)] + [(2, 7), (3, 8), (9, 9)], "k int, v int")
+    right = spark.createDataFrame([(1, 6, "a"), (2, 1, "b"), (3, 1, "c"), (4, 0, "d")], "k int, n long, w string")
+    got = common.join_hot(left, right, ["k"], "n", 9).select("k", "v", "w").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, left.join(right, "k").select("k", "v", "w").collect()))
