@@ -208,8 +208,9 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     measured = _measured(docs, stratum)
     limits = small_side(materialize(cutoffs(measured, labels, alpha, delta), "cutoffs"))
     rows = measured.select("doc_id", "stratum", "m", F.struct(*RULES).alias("b")).join(limits, "stratum", "left")
-    rows = rows.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in COUNTS), base_failed("m").alias("base_failed"), _failing(limits).alias("broken"), "stratum")
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    broken = _failing(limits)
+    first = [c for c in COUNTS if c != "n_lines"]
+    return rows.select("doc_id", *(F.col(f"m.{c}").alias(c) for c in first), base_failed("m").alias("base_failed"), (~base_failed("m") & (F.size(broken) == 0)).alias("kept"), "stratum", broken.alias("broken"), F.col("m.n_lines").alias("n_lines"))
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
