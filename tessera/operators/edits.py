@@ -58,6 +58,11 @@ def apply(documents: DataFrame, edits: DataFrame, cursor: int | None = None) ->
     return rest.unionByName(from_lines(overlay(lines(touched, keep_returns=True), edits, cursor)))
 
 
+def commit(documents: DataFrame, edits: DataFrame, cursor: int | None = None) -> DataFrame:
+    """The edited documents as a new base: checkpointed, so later scans and searches do not replay the edits."""
+    return apply(documents, edits, cursor).checkpoint()
+
+
 def count(edits: DataFrame, cursor: int | None = None) -> DataFrame:
     live = edits if cursor is None else edits.where(F.col("seq") <= cursor)
     return live.groupBy("doc_id").agg(F.count("*").alias("edits"))

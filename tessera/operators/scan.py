@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import decode_entities
@@ -189,6 +189,10 @@ class Scan:
     def stats(self) -> DataFrame:
         return self._view("stat").select("doc_id", *(F.col("counts")[i].alias(n) for i, n in enumerate(COUNTS)))
 
+    def observed(self, observation: Observation) -> DataFrame:
+        """``stats`` that also reports progress totals to an Observation while the action runs."""
+        return self.stats.observe(observation, F.count(F.lit(1)).alias("documents"), F.sum("elements").alias("elements"), F.sum("errors").alias("errors"), F.sum("bytes").alias("bytes"))
+
     def report(self, names: DataFrame | None = None) -> DataFrame:
         """Lines of the form path:line:col: severity: message, with the repair below."""
         found = self.diagnostics

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.arrow import RowBuffer
+
 MAX_HITS, BEFORE, AFTER = 1000, 40, 60
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BREAKS = re.compile(r"[\r\n\t]+")
@@ -67,6 +69,8 @@ def search(documents: DataFrame, needle: str, ignore_case: bool = False, max_hit
     wanted = needle.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = pa.int64()
+        rows = RowBuffer(("doc_id", number), ("offset", number), ("line", number), ("col", number), ("preview", pa.string()), ("total", number))
         for batch in batches:
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
                 content = raw.as_py() or b""
@@ -74,8 +78,9 @@ def search(documents: DataFrame, needle: str, ignore_case: bool = False, max_hit
                 finder.feed(content)
                 if n := len(finder.hits):
                     offset, line, col = zip(*finder.hits)
-                    shown = [preview(content, o, len(wanted)) for o in offset]
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), *(pa.array(c, pa.int64()) for c in (offset, line, col)), pa.array(shown, pa.string()), pa.array([finder.total] * n, pa.int64())], ["doc_id", "offset", "line", "col", "preview", "total"])
+                    rows.add([doc_id] * n, offset, line, col, [preview(content, o, len(wanted)) for o in offset], [finder.total] * n)
+                    yield from rows.ready()
+        yield from rows.rest()
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content"))
     return narrow.mapInArrow(run, "doc_id long, offset long, line long, col long, preview string, total long")

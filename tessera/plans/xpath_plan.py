@@ -191,6 +191,14 @@ def _stepwise(elements: DataFrame, subset: Subset, ns_mode: str) -> DataFrame:
     return context
 
 
+def notes(scan: Scan, expr: str, ns_mode: str = "smart") -> DataFrame:
+    """doc_id and what to know about index results: literal names, and indexes that a budget cut short."""
+    parse_subset(expr)
+    short = F.when(F.col("indexed") < F.col("elements"), F.format_string("Index covers %d of %d elements.", "indexed", "elements"))
+    literal = F.lit(LITERAL_NOTE) if ns_mode == "smart" else F.lit(None).cast("string")
+    return scan.stats.select("doc_id", F.concat_ws(" ", literal, short).alias("note"))
+
+
 def select(scan: Scan, expr: str, ns_mode: str = "smart", attribute_join: str = "inner", limit: int | None = None) -> DataFrame:
     """Rows (doc_id, elem_id, name, line, path, text, preview and, for attributes, attribute and value) or doc_id and count.
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+
+from tessera.sources.arrow import RowBuffer
 
 #: Up to this size a document is handled in memory as one cell; larger ones are read in chunks.
 IN_MEMORY_LIMIT = 16 << 20
@@ -51,6 +53,7 @@ def lines(documents: DataFrame, first: int | None = None, last: int | None = Non
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = RowBuffer(("doc_id", pa.int64()), ("line", pa.int64()), ("start", pa.int64()), ("text", pa.string()))
         for batch in batches:
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
                 parts = (raw.as_py() or b"").split(b"\n")
@@ -61,7 +64,9 @@ def lines(documents: DataFrame, first: int | None = None, last: int | None = Non
                     at += len(p) + 1
                 kept = parts[lo:hi] if keep_returns else [p.removesuffix(b"\r") for p in parts[lo:hi]]
                 n = len(kept)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(range(lo + 1, lo + 1 + n), pa.int64()), pa.array(starts[lo : lo + n], pa.int64()), pa.array([p.decode("utf-8", "replace") for p in kept], pa.string())], ["doc_id", "line", "start", "text"])
+                rows.add([doc_id] * n, range(lo + 1, lo + 1 + n), starts[lo : lo + n], [p.decode("utf-8", "replace") for p in kept])
+                yield from rows.ready()
+        yield from rows.rest()
 
     narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("content").cast("binary").alias("content"))
     return narrow.mapInArrow(run, "doc_id long, line long, start long, text string")
@@ -108,6 +113,72 @@ def generate_size(spark: SparkSession, size: int, documents: int = 1) -> DataFra
     return generate(spark, documents, per)
 
 
+def rich_record(n: int) -> str:
+    """One order with two items, an entity and a city beyond ASCII, from its number."""
+    number, city = 100_000 + n, CITIES[n % len(CITIES)]
+    item = lambda part, product, quantity, price, more="": f'      <Item PartNumber="{part}"><ProductName>{product}</ProductName><Quantity>{quantity}</Quantity><USPrice>{price:.2f}</USPrice>{more}</Item>\n'
+    return (
+        f'  <PurchaseOrder OrderNumber="{number}" OrderDate="2026-0{1 + n % 9}-{1 + n % 28:02d}" Priority="{("low", "normal", "high")[n % 3]}">\n'
+        f'    <Address Type="Shipping"><Name>Customer {n}</Name><Street>{n % 999} Long Street</Street><City>{city}</City><Zip>{10_000 + n % 89_999}</Zip></Address>\n    <Items>\n'
+        + item(f"{n % 900}-A", PRODUCTS[n % len(PRODUCTS)], 1 + n % 5, 19.99 + n % 400)
+        + item(f"{n % 700}-B", PRODUCTS[n * 7 % len(PRODUCTS)], 1 + n % 3, 4.5 + n % 90, f"<Comment>Batch {n // 16} &amp; lot {n % 16}</Comment>")
+        + "    </Items>\n  </PurchaseOrder>\n"
+    )
+
+
+def generate_repeated(spark: SparkSession, documents: int, size: int, template_bytes: int = 1 << 20) -> DataFrame:
+    """Documents of about ``size`` bytes each, one template of records repeated (made on the executors)."""
+    parts, made, n = [], 0, 0
+    while made < min(size, template_bytes):
+        parts.append(rich_record(n))
+        made, n = made + len(parts[-1].encode()), n + 1
+    body = F.repeat(F.lit("".join(parts)), max(1, round(size / made)))
+    content = F.concat(F.lit(HEADER), body, F.lit(FOOTER)).cast("binary")
+    return spark.range(documents).select(F.col("id").alias("doc_id"), F.format_string("repeated-%d.xml", "id").alias("name"), content.alias("content")).withColumn("n_bytes", F.octet_length("content").cast("long"))
+
+
+def goto(rows: DataFrame, line: int) -> DataFrame:
+    """The line (doc_id, line, ...) with a number, or the nearest there is, of every document."""
+    last = F.max("line").over(Window.partitionBy("doc_id"))
+    return rows.withColumn("__last", last).where(F.col("line") == F.greatest(F.lit(1), F.least(F.lit(line), F.col("__last")))).drop("__last")
+
+
+# files ------------------------------------------------------------------------
+
+
+class FileSink(DataSource):
+    """``write.format("xml_files")``: every row (name, content) as a file of its own below ``path``.
+
+    Executors write, so ``path`` must be on storage all of them mount. A file appears
+    whole or not at all, and a task that runs again writes the same bytes.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "xml_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _FileWriter(self.options["path"].removeprefix("file://").removeprefix("file:"))
+
+
+class _FileWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        import os
+        import uuid
+
+        os.makedirs(self.path, exist_ok=True)
+        for row in rows:
+            target = os.path.join(self.path, os.path.basename(row["name"]))
+            part = f"{target}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
+                f.write(bytes(row["content"] or b""))
+            os.replace(part, target)
+        return WriterCommitMessage()
+
+
 # files too large for a cell ---------------------------------------------------
 
 

@@ -106,6 +106,26 @@ def test_generated_corpus(spark, tmp_path):
     assert found == [i for i in range(len(data)) if data.startswith(b"Customer", i)] and os.path.exists(path)
 
 
+def test_repeated_corpus_and_file_sink(spark, tmp_path):
+    made = docs.generate_repeated(spark, 2, 60_000, 20_000)
+    assert all(r.errors == 0 and r.bytes > 50_000 for r in totals(made).collect())
+    spark.dataSource.register(docs.FileSink)
+    made.select("name", "content").write.format("xml_files").mode("append").save(str(tmp_path / "out"))
+    assert {(r["name"], r.content) for r in docs.read_documents(spark, str(tmp_path / "out")).collect()} == {(r["name"], r.content) for r in made.collect()}
+    line = docs.lines(made)
+    assert rows(docs.goto(line, 4), "line") == [(4,), (4,)] and docs.goto(line, 10**9).count() == 2 and rows(docs.goto(line, -5), "line") == [(1,), (1,)]
+
+
+def test_progress_and_notes(spark):
+    from pyspark.sql import Observation
+
+    from tessera.plans.xpath_plan import notes
+
+    seen, s = Observation(), scan(samples(spark), ScanConfig(max_indexed=5))
+    assert s.observed(seen).count() == 4 and seen.get["documents"] == 4 and seen.get["errors"] == 8
+    assert {r.doc_id: r.note for r in notes(s, "//a").collect()}[0].endswith("of 49 elements.")
+
+
 @pytest.mark.parametrize("source", [ORDERS, BROKEN, SCHEMA, "", "<a>"])
 def test_index_file(source):
     ix = scan_bytes(source.encode(), ScanConfig(contents=False))
@@ -251,12 +271,14 @@ def test_pretty(spark):
 # edits
 
 
-def test_edits(spark):
+def test_edits(spark, tmp_path):
     df = spark.createDataFrame([(1, b"a\r\nb\nc"), (2, b"untouched\r\n")], "doc_id long, content binary")
     e = spark.createDataFrame([(1, 2, 1, "set", "B"), (1, 2, 2, "set", "BB"), (1, 1, 3, "insert", "x"), (1, 1, 4, "insert", "y"), (1, 3, 5, "delete", None), (1, 1, 6, "set", "A")], "doc_id long, line long, seq long, op string, text string")
     got = lambda cursor=None: {r.doc_id: r.content for r in edits.apply(df, e, cursor).collect()}
     assert got() == {1: b"A\r\ny\nx\nBB", 2: b"untouched\r\n"}
     assert got(1)[1] == b"a\r\nB\nc" and got(0)[1] == b"a\r\nb\nc" and edits.count(e, 4).first().edits == 4
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    assert {r.doc_id: r.content for r in edits.commit(df, e).collect()} == got()
     t = spark.createDataFrame([("hello",)], "t string")
     assert t.select(edits.insert(F.col("t"), 1, "XY"), edits.delete(F.col("t"), 1, 3), edits.replace(F.col("t"), 0, 1, "J")).first() == ("hXYello", "ho", "Jello")
 
