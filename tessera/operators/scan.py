@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import decode_entities
 from tessera.operators.scanner import Index, ScanConfig, Scanner, scan_bytes
-from tessera.operators.vector_scan import MIN_BYTES, vector_scan
+from tessera.operators.vector_scan import MIN_BYTES, vector_scan, vector_totals
 
 FIELDS = (
     ("doc_id", "long", pa.int64()),
@@ -39,6 +39,8 @@ SCHEMA = ", ".join(f"`{n}` {t}" for n, t, _ in FIELDS)
 COUNTS = ("bytes", "lines", "elements", "indexed", "attributes", "max_depth", "errors")
 FLUSH_ROWS = 50_000
 _STRUCTURE = ScanConfig(contents=False)
+#: Documents are laid end to end up to this size for the array scan.
+GROUP_BYTES = 2 << 20
 
 
 def paths(index: Index) -> tuple[list[str], list[str], list[int]]:
@@ -238,11 +240,29 @@ def _nodes(narrow: DataFrame, config: ScanConfig, complete: bool, groups: frozen
     return narrow.mapInArrow(run, SCHEMA)
 
 
-def structure(content: bytes, full: bool = True) -> Index:
+def structure(content: bytes) -> Index:
     """The index of a document without contents; large regular documents take the array path."""
-    if len(content) >= MIN_BYTES and (index := vector_scan(content, full=full)) is not None:
+    if len(content) >= MIN_BYTES and (index := vector_scan(content)) is not None:
         return index
-    return scan_bytes(content, ScanConfig(contents=False))
+    return scan_bytes(content, _STRUCTURE)
+
+
+def _totals_of(contents: list[bytes], tries: int = 2) -> list[tuple]:
+    """Counters of documents: regular ones together in arrays, in halves if one of them is not, else one by one."""
+    if sum(map(len, contents)) >= MIN_BYTES:
+        if (found := vector_totals(contents)) is not None:
+            return [(size, lines, elements, elements, attributes, depth, 0) for size, lines, elements, attributes, depth in found]
+        if tries and len(contents) > 1:
+            half = len(contents) // 2
+            return _totals_of(contents[:half], tries - 1) + _totals_of(contents[half:], tries - 1)
+    if len(contents) > 1:
+        return [t for c in contents for t in (_totals_of([c], 0) if len(c) >= MIN_BYTES else [_slow_totals(c)])]
+    return [_slow_totals(c) for c in contents]
+
+
+def _slow_totals(content: bytes) -> tuple:
+    ix = scan_bytes(content, _STRUCTURE)
+    return ix.file_len, ix.line_count, ix.total_elements, ix.indexed, ix.total_attributes, ix.max_depth, ix.error_count
 
 
 def totals(documents: DataFrame) -> DataFrame:
@@ -250,10 +270,15 @@ def totals(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: list[tuple] = []
+            group, size = [], 0
             for raw in batch.column("content"):
-                ix = structure(raw.as_py() or b"", full=False)
-                out.append((ix.file_len, ix.line_count, ix.total_elements, ix.total_elements, ix.total_attributes, ix.max_depth, ix.error_count))
+                group.append(raw.as_py() or b"")
+                size += len(group[-1])
+                if size >= GROUP_BYTES:
+                    out += _totals_of(group)
+                    group, size = [], 0
+            out += _totals_of(group)
             columns = list(zip(*out)) if out else [()] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *COUNTS])
 

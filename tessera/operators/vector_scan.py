@@ -10,7 +10,7 @@ and the scanner in ``scanner.py`` decides; where there is a result, it is the sa
 from __future__ import annotations
 
 import re
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -89,10 +89,29 @@ def _name_ids(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return ids, first
 
 
-def vector_scan(content: bytes, stride: int = 32, full: bool = True) -> Index | None:
-    """The index of a well-formed document (without contents), or None. Only totals unless ``full``."""
+@dataclass
+class Structure:
+    """Tags of one or more documents laid end to end: positions, names, nesting, and attributes of each tag."""
+
+    lt: np.ndarray
+    gt: np.ndarray
+    document: np.ndarray
+    start: np.ndarray
+    name_end: np.ndarray
+    opens: np.ndarray
+    depth_of: np.ndarray
+    attributes: np.ndarray
+    names: tuple[np.ndarray, list[int]]
+    heads: np.ndarray
+    tails: np.ndarray
+    newlines: np.ndarray
+
+
+def _structure(content: bytes, bounds: np.ndarray) -> Structure | None:
+    """``bounds`` are the ends of the documents. None unless every one of them is regular."""
     if not content or b"]]>" in content and b"<![CDATA[" not in content:
         return None
+    of = lambda x: np.searchsorted(bounds, x, side="right")
     a = np.frombuffer(content, np.uint8)
     lt, gt = np.flatnonzero(a == 60), np.flatnonzero(a == 62)
     if not len(lt) or lt[-1] + 2 >= len(a):
@@ -104,6 +123,8 @@ def vector_scan(content: bytes, stride: int = 32, full: bool = True) -> Index |
         if spans is None:
             return None
         lows, highs = np.array([s for s, _ in spans]), np.array([e for _, e in spans])
+        if (of(lows) != of(highs - 1)).any():
+            return None
         outside = lambda x: x[x >= np.concatenate([[0], highs])[np.searchsorted(lows, x, side="right")]]
         lt, gt = outside(lt), outside(gt)
         if not len(lt):
@@ -116,9 +137,13 @@ def vector_scan(content: bytes, stride: int = 32, full: bool = True) -> Index |
         outside = lambda x: x
     if len(lt) != len(gt) or not ((lt < gt).all() and (gt[:-1] < lt[1:]).all()) or len(lows) and (np.searchsorted(lows, lt) != np.searchsorted(lows, gt)).any():
         return None
+    document = of(lt)
+    if (document != of(gt)).any() or (np.bincount(document, minlength=len(bounds)) == 0).any():
+        return None
     if b"&" in content:
         amp = outside(np.flatnonzero(a == 38))
-        found = np.array([m.start() for m in _REFERENCE.finditer(content)], np.int64)
+        found = np.array([m.span() for m in _REFERENCE.finditer(content)], np.int64).reshape(-1, 2)
+        found = found[of(found[:, 0]) == of(found[:, 1] - 1), 0]
         if not np.isin(amp, found, assume_unique=True).all():
             return None
 
@@ -132,7 +157,7 @@ def vector_scan(content: bytes, stride: int = 32, full: bool = True) -> Index |
     # after the name of an end tag only white space, of a start tag nothing, white space or attributes
     rest = gt - empty > name_end
     odd = np.flatnonzero(rest)
-    attributes = 0
+    attributes = np.zeros(len(lt), np.int64)
     if len(odd):
         late = odd[closing[odd]]
         for i, j in zip(name_end[late].tolist(), gt[late].tolist()):
@@ -142,8 +167,9 @@ def vector_scan(content: bytes, stride: int = 32, full: bool = True) -> Index |
         joined = b"".join([content[i:j] for i, j in zip(lt[early].tolist(), (gt[early] + 1).tolist())])
         if b"'" in joined:
             return None
-        shapes = Counter(_VALUE.sub(b'"', joined).split(b"<")[1:])
-        for shape, n in shapes.items():
+        shapes = _VALUE.sub(b'"', joined).split(b"<")[1:]
+        n_of = dict.fromkeys(shapes, 0)
+        for shape in n_of:
             names = _SHAPE_NAME.findall(shape)
             if not names:
                 if not re.fullmatch(_NAME + rb"[ \t\r\n]*/?>", shape):
@@ -151,31 +177,36 @@ def vector_scan(content: bytes, stride: int = 32, full: bool = True) -> Index |
                 continue
             if not _SHAPE.fullmatch(b"<" + shape) or len(set(names)) != len(names) or len(names) > 64 or shape.count(b'"') != len(names):
                 return None
-            attributes += n * len(names)
+            n_of[shape] = len(names)
+        attributes[early] = np.fromiter(map(n_of.__getitem__, shapes), np.int64, len(shapes))
 
     step = np.where(closing, -1, np.where(empty, 0, 1))
     level = np.cumsum(step)
     opens = ~closing
     depth_of = level - (step == 1)  # depth of the element that a tag opens or closes
-    if level[-1] != 0 or (level < 0).any() or depth_of[0] != 0 or closing[0]:
+    last = np.flatnonzero(np.diff(document, append=len(bounds)))  # the last tag of each document
+    first = np.concatenate([[0], last[:-1] + 1])
+    if (level[last] != 0).any() or (level < 0).any() or int(depth_of.max()) >= _MAX_DEPTH:
         return None
-    deepest = int(depth_of.max())
-    if (depth_of[opens] == 0).sum() != 1 or deepest >= _MAX_DEPTH:
+    if (np.bincount(document[opens & (depth_of == 0)], minlength=len(bounds)) != 1).any() or closing[first].any():
         return None
-    first, last = lt[0], gt[-1]
-    outer = np.concatenate([a[:first], a[last + 1 :]])
-    positions = np.concatenate([np.arange(first), np.arange(last + 1, len(a))])
-    keep = np.isin(positions, outside(positions), assume_unique=True) if len(lows) else slice(None)
-    outer = outer[keep]
+    # outside the roots there is only white space
+    starts = np.concatenate([[0], bounds[:-1]])
+    edge = np.zeros(len(a) + 1, np.int8)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, lt[first], -1)
+    np.add.at(edge, gt[last] + 1, 1)
+    np.add.at(edge, bounds, -1)
+    around = outside(np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int8)))
     if content.startswith(b"\xef\xbb\xbf"):
-        outer = outer[3:]
-    if not _WHITE[outer].all() or content.startswith(b"\xef") and not content.startswith(b"\xef\xbb\xbf"):
+        around = around[3:]
+    if not _WHITE[a[around]].all():
         return None
 
-    named = _name_ids(a, start, name_end)
-    if named is None:
+    names = _name_ids(a, start, name_end)
+    if names is None:
         return None
-    ids, leads = named
+    ids = names[0]
     # the k-th start and the k-th end at a depth belong together
     paired = np.flatnonzero(closing | (opens & ~empty))
     order = paired[np.argsort(depth_of[paired].astype(np.uint16), kind="stable")]
@@ -183,13 +214,34 @@ def vector_scan(content: bytes, stride: int = 32, full: bool = True) -> Index |
     if len(heads) != len(tails) or closing[heads].any() or not closing[tails].all() or (ids[heads] != ids[tails]).any():
         return None
 
-    newlines = np.flatnonzero(a == 10)
-    index = Index(stride=stride, total_elements=int(opens.sum()), total_attributes=attributes, max_depth=deepest + 1, line_count=len(newlines) + 1, file_len=len(a))
-    if not full:
-        return index
-    at = np.flatnonzero(opens)
+    return Structure(lt, gt, document, start, name_end, opens, depth_of, attributes, names, heads, tails, np.flatnonzero(a == 10))
+
+
+def vector_totals(contents: list[bytes]) -> list[tuple[int, int, int, int, int]] | None:
+    """Bytes, lines, elements, attributes and depth of documents that are all regular, or None."""
+    bounds = np.cumsum([len(c) for c in contents])
+    if not len(bounds) or (found := _structure(b"".join(contents), bounds)) is None:
+        return None
+    n, at = len(bounds), np.flatnonzero(found.opens)
+    elements = np.bincount(found.document[at], minlength=n)
+    attributes = np.bincount(found.document, found.attributes, minlength=n).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(found.document)) + 1])
+    depth = np.maximum.reduceat(found.depth_of, first) + 1
+    lines = np.bincount(np.searchsorted(bounds, found.newlines, side="right"), minlength=n) + 1
+    return list(zip(map(len, contents), lines.tolist(), elements.tolist(), attributes.tolist(), depth.tolist()))
+
+
+def vector_scan(content: bytes, stride: int = 32) -> Index | None:
+    """The index of a well-formed document (without contents), or None."""
+    found = _structure(content, np.array([len(content)]))
+    if found is None:
+        return None
+    depth_of, gt, newlines = found.depth_of, found.gt, found.newlines
+    deepest = int(depth_of.max())
+    at = np.flatnonzero(found.opens)
+    index = Index(stride=stride, total_elements=len(at), total_attributes=int(found.attributes.sum()), max_depth=deepest + 1, line_count=len(newlines) + 1, file_len=len(content))
     end_of = gt + 1
-    end_of[heads] = gt[tails] + 1
+    end_of[found.heads] = gt[found.tails] + 1
     depth = depth_of[at]
     parent = np.full(len(at), NO_PARENT)
     above = np.flatnonzero(depth == 0)
@@ -197,9 +249,10 @@ def vector_scan(content: bytes, stride: int = 32, full: bool = True) -> Index |
         own = np.flatnonzero(depth == d)
         parent[own] = above[np.searchsorted(above, own) - 1]
         above = own
-    index.start, index.end, index.parent, index.depth = lt[at].tolist(), end_of[at].tolist(), parent.tolist(), depth.tolist()
-    index.line = (np.searchsorted(newlines, name_end[at], side="right") + 1).tolist()
+    ids, leads = found.names
+    index.start, index.end, index.parent, index.depth = found.lt[at].tolist(), end_of[at].tolist(), parent.tolist(), depth.tolist()
+    index.line = (np.searchsorted(newlines, found.name_end[at], side="right") + 1).tolist()
     index.name = ids[at].tolist()
-    index.names = [content[start[k] : name_end[k]] for k in leads]
+    index.names = [content[found.start[k] : found.name_end[k]] for k in leads]
     index.checkpoints = [0, *(newlines[stride - 1 :: stride] + 1).tolist()]
     return index

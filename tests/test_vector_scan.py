@@ -3,7 +3,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.operators.scanner import ScanConfig, scan_bytes
-from tessera.operators.vector_scan import vector_scan
+from tessera.operators.scan import _totals_of, _slow_totals
+from tessera.operators.vector_scan import vector_scan, vector_totals
 from tessera.sources.samples import BROKEN, ORDERS, SCHEMA
 from tests.test_scanner import DOCS
 
@@ -50,3 +51,24 @@ TREE = st.recursive(st.sampled_from(["", "t&amp;", "<c/>", "<!--x-->", "<![CDATA
 @given(TREE)
 def test_takes_every_regular_tree(tree):
     assert same(f"<root>{tree}</root>".encode())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=6).map("".join), min_size=1, max_size=5), st.booleans())
+def test_documents_laid_end_to_end(texts, wrap):
+    contents = [(f"<r>{t}</r>\n" if wrap else t).encode() for t in texts]
+    got = vector_totals(contents)
+    if got is not None:
+        assert [(b, n, e, e, a, d, 0) for b, n, e, a, d in got] == [_slow_totals(c) for c in contents]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TREE, min_size=2, max_size=6))
+def test_regular_documents_are_taken_together(trees):
+    contents = [f"<?xml version=\"1.0\"?>\n<root>{t}</root>\n".encode() for t in trees]
+    assert vector_totals(contents) is not None
+
+
+def test_mixed_batches():
+    contents = [(f"<r n=\"{i}\">" + "<x/>" * 300 + ("</r>" if i != 13 else "")).encode() for i in range(40)] + [b"", b"<a/>"]
+    assert _totals_of(contents) == [_slow_totals(c) for c in contents]
