@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, slices
+from tessera.llm.common import join_hot, materialize, slices
 
 DEPTH, MIN_DOCS, AGREE, FIXED = 3, 5, 0.8, 0.5
 FIELD = "<*>"
@@ -99,20 +99,20 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     schema = "kind int, doc_id long, mark long, number int, leaf long, code long, in_leaf boolean, in_line boolean, tokens array<int>"
     parsed = materialize(rows.mapInArrow(_parse, schema), "lines", "kind")
     lines = parsed.where("kind = 0").select("doc_id", "mark", "number", "leaf", "code", "in_leaf", "in_line")
-    live = lines.where("in_leaf").groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    live = materialize(live, "live-leaves")
-    counts = lines.where("in_line").join(live, "leaf", "left_semi").groupBy("leaf", "code").agg(F.count("*").alias("docs"))
-    texts = parsed.where("kind = 1").select("leaf", "code", "tokens").join(live, "leaf", "left_semi").groupBy("leaf", "code").agg(F.first("tokens").alias("tokens"))
+    live = lines.where("in_leaf").groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    live, total = materialize(live, "live-leaves"), lines.count()
+    counts = join_hot(lines.where("in_line").select("leaf", "code"), live, ["leaf"], "docs", total).groupBy("leaf", "code").agg(F.count("*").alias("n"))
+    texts = join_hot(parsed.where("kind = 1").select("leaf", "code", "tokens"), live, ["leaf"], "docs", total).groupBy("leaf", "code").agg(F.first("tokens").alias("tokens"))
     distinct = materialize(texts.join(counts, ["leaf", "code"]), "live-lines")
-    fields = distinct.select("leaf", "code", "docs", F.posexplode("tokens").alias("at", "token"))
-    fixed = fields.where("token >= 0").groupBy("leaf", "at", "token").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token")
+    fields = distinct.select("leaf", "code", "n", F.posexplode("tokens").alias("at", "token"))
+    fixed = fields.where("token >= 0").groupBy("leaf", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "at", "token")
     shape = fields.join(fixed, ["leaf", "at", "token"]).groupBy("leaf", "code").agg(F.count("*").alias("fixed"), F.bit_xor(F.xxhash64("at", "token")).alias("constants"))
     size, masked = F.size("tokens"), F.size(F.filter("tokens", lambda t: t < 0))
     shaped = distinct.join(shape, ["leaf", "code"]).where((F.col("fixed") >= FIXED * size) & (F.col("fixed") + masked >= AGREE * size))
-    templates = shaped.select("leaf", "code", F.xxhash64("leaf", "constants").alias("template"))
-    found = materialize(lines.drop("in_leaf", "in_line").join(templates, ["leaf", "code"]), "templates")
-    often = found.select("template", "doc_id", "mark").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("template")
-    return found.join(often, "template", "left_semi").select("doc_id", "mark", "number", "template")
+    templates = materialize(shaped.select("leaf", "code", "n", F.xxhash64("leaf", "constants").alias("template")), "shapes")
+    found = materialize(join_hot(lines.drop("in_leaf", "in_line"), templates, ["leaf", "code"], "n", total).drop("n"), "templates")
+    often = found.select("template", "doc_id", "mark").distinct().groupBy("template").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    return join_hot(found, materialize(often, "recurring"), ["template"], "docs", total).select("doc_id", "mark", "number", "template")
 
 
 def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
