@@ -164,15 +164,16 @@ def _partitioned(docs: DataFrame, carried, bucket_bytes: int) -> tuple[DataFrame
     schema = T.StructType([T.StructField(c, t) for c, t in (("kind", T.IntegerType()), ("gid", T.LongType()), ("sha", T.StringType()), ("rid", T.LongType()), ("doc_id", T.LongType()), ("n", T.LongType()), ("n_bytes", T.LongType()))] + [T.StructField("row", rows.schema["row"].dataType)])
     stored = materialize(rows.mapInArrow(_local, schema), "exact", "kind")
     contents = stored.where("kind = 1").drop("kind")
-    digits = 0
+    digits, total = 0, 0
     while digits < 16:
-        largest = contents.groupBy(F.substring("sha", 1, digits).alias("b")).agg(F.sum("n_bytes").alias("s")).agg(F.max("s")).first()[0] or 0
+        largest, total = contents.groupBy(F.substring("sha", 1, digits).alias("b")).agg(F.sum("n_bytes").alias("s")).agg(F.coalesce(F.max("s"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
         if largest <= bucket_bytes:
             break
         digits += max(1, int(np.ceil(np.log2(largest / bucket_bytes) / 4)))
     named = contents.withColumn("bucket", F.substring("sha", 1, digits) if digits else F.lit(""))
     if digits:
-        named = named.repartition("bucket")
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * bucket_bytes)))
+        named = named.repartition(min(parts, 16**digits), "bucket")  # follows the bytes, whatever the session's default
     else:
         named = named.coalesce(1)  # everything fits one table
     return stored.where("kind = 0").select("gid", "sha", "rid", "doc_id"), named.sortWithinPartitions("bucket")

