@@ -161,6 +161,11 @@ class Scan:
             self._all = None
         return self
 
+    @property
+    def doc_ids(self) -> DataFrame:
+        """The ids of all documents, without a scan."""
+        return self._documents.select("doc_id")
+
     def _view(self, group: str) -> DataFrame:
         if self._all is None:
             return _nodes(self._documents, self._config, self._complete, frozenset((group,)))

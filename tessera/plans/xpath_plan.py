@@ -227,7 +227,7 @@ def select(scan: Scan, expr: str, ns_mode: str = "smart", attribute_join: str =
         found = found.join(own.drop("attr_no"), ["doc_id", "elem_id"], attribute_join)
     if subset.count:
         counted = found.groupBy("doc_id").agg(F.count("*").alias("n"))
-        return scan.stats.select("doc_id").join(counted, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
+        return scan.doc_ids.join(counted, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
     columns = ["doc_id", "elem_id", "name", "line", "path", "text"]
     if subset.attribute:
         preview = F.when(F.col("attribute").isNull(), "(no such attribute)").otherwise(F.concat("attribute", F.lit('="'), "value", F.lit('"')))

@@ -59,7 +59,10 @@ def order_documents(spark: SparkSession, sf_dir: str, prefix: str = "", open_tag
     spaces = f' xmlns:{p[:-1]}="urn:orders"' if p else ""
     start = F.concat(F.lit(f'<{p}Order{spaces} key="'), F.col("o_orderkey").cast("string"), F.lit('" status="'), F.col("o_orderstatus"), F.lit('">')) if open_tag is None else open_tag
     content = F.concat(start, F.lit(f"<{p}Lines>"), F.coalesce("body", F.lit("")), F.lit(f"</{p}Lines></{p}Order>"))
-    return orders.join(body, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("doc_id"), content.cast("binary").alias("content"))
+    rendered = orders.join(body, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(F.col("o_orderkey").alias("doc_id"), content.cast("binary").alias("content"))
+    # adaptive execution sizes partitions by bytes; a scan needs them by cores
+    cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rendered.repartition(cores, "doc_id")
 
 
 def order_scan(spark: SparkSession, sf_dir: str) -> Scan:
@@ -333,7 +336,7 @@ def q38_flattened_tree(spark, sf_dir):
 def q39_join_plan(spark, sf_dir):
     s = order_scan(spark, sf_dir)
     found = xpath_plan._stepwise(s.elements, xpath_plan.parse_subset("/Order/Lines//Line"), "smart").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return s.stats.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("count"))
+    return s.doc_ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("count"))
 
 
 @query("SELECT CAST(i AS BIGINT) AS doc_id, CAST(501 AS BIGINT) AS elements, CAST(201 AS BIGINT) AS attributes, CAST(0 AS BIGINT) AS errors FROM range(40) r(i)")
