@@ -32,8 +32,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids in place of the text."""
-    return bpe.encode(docs, vocabulary_path())
+    """The token ids in place of the text, in the order of the mixture, which a table that is read again does not keep."""
+    return bpe.encode(mixing.mix(docs), vocabulary_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,7 +1,8 @@
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import exact_dedup, quality
+from tessera.llm import exact_dedup, mixing, quality
 from tessera.llm.queries import vocabulary_path
 from tests.llm.test_exact_dedup import LOWER
 from tests.llm.test_simhash import brute_components, slow_fingerprint
@@ -41,6 +42,22 @@ def test_run(spark):
     assert set(got.columns) == {"doc_id", "lang", "source", "n_chars", "token_ids", "n_tokens"} and got.count() > 50
 
 
+def test_run_keeps_the_order_of_the_mixture(spark):
+    # several files of different sizes: a scan reads the longest first
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = [r.doc_id for r in corpus_pipeline.run(spark, SF).collect()]
+        kept = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id").isin(got))
+        want = [r.doc_id for r in mixing.place(kept).orderBy("position").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == want
+
+
 def test_stages_take_odd_rows(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, "word " * 50_000, None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'x' AS row", "1 AS bucket", "2 AS fp", "3 AS position")
     for name, stage in corpus_pipeline.STAGES[1:]:
