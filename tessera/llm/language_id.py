@@ -9,8 +9,9 @@ one minus the share of the largest possible distance.
 
 Profiles are learned from a hash-chosen sample of the training rows whose
 expected size is ``MAX_TRAINING_DOCS`` a language. Letters are taken lower-cased;
-everything else only separates words. The alphabet is the ``ALPHABET`` most
-frequent letters of the sample; all other letters share one symbol.
+everything else only separates words. If the sample has at most ``ALPHABET``
+different letters, they have small codes, and letters that no profile can hold share
+one symbol; otherwise n-grams are made of the code points themselves.
 
 Inputs: null texts and texts without a letter are ``und`` with score 0, as is
 everything if there is nothing to learn from. Whole texts are read. Rows with a
@@ -37,9 +38,29 @@ MAX_TRAINING_DOCS = 2000
 MAX_LANGUAGES = 1000
 ALPHABET = 61
 SPACE, OTHER, BASE = 0, ALPHABET + 1, 64
+#: Bits of a code point: no letter of Unicode is above 0x3FFFF, so three and the length fit a long.
+WIDE = 18
 LETTERS = regex.compile(r"\p{L}+")
 
 
+class WideCoder:
+    """Turns text into the code points of its letters, words separated by ``SPACE``."""
+
+    def __init__(self):
+        self.table = np.zeros(0x110000, np.int32)
+        self.seen = np.zeros(0x110000, bool)
+
+    def codes(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+        new = np.unique(points[~self.seen[points]])
+        self.seen[new] = True
+        letters = np.array([p for p in new.tolist() if chr(p).isalpha()], np.int64)
+        self.table[letters] = letters
+        out = np.full(len(points) + 2, SPACE, np.int32)
+        out[1:-1] = self.table[points]
+        return out
+
+
 class Coder:
     """Turns text into small letter codes, words separated by ``SPACE``."""
 
@@ -64,7 +85,9 @@ class Coder:
         return out
 
 
-def new_coder(alphabet: str) -> Coder:
+def new_coder(alphabet: str) -> Coder | WideCoder:
+    if len(alphabet) > ALPHABET:
+        return WideCoder()
     coder = Coder(alphabet)
     for p in range(128):
         if chr(p).isalpha() and chr(p) not in coder.known:
@@ -72,8 +95,20 @@ def new_coder(alphabet: str) -> Coder:
     return coder
 
 
+def _wide_grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c = codes.astype(np.int64)
+    a, b = c[:-1], c[1:]
+    letter = c != SPACE
+    two = (a << WIDE | b)[letter[:-1] | letter[1:]]
+    three = (a[:-1] << 2 * WIDE | b[:-1] << WIDE | c[2:])[letter[1:-1]]
+    found = [np.unique(k, return_counts=True) for k in (c[letter], two, three)]
+    return np.concatenate([k + (n << 3 * WIDE) for n, (k, _) in enumerate(found, 1)]), np.concatenate([m for _, m in found])
+
+
 def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams and their counts. n is in the two highest bits of a key, so lengths never mix."""
+    if codes.dtype != np.uint8:
+        return _wide_grams(codes)
     c = codes.astype(np.int32)
     a, b = c[:-1], c[1:]
     letter = c != SPACE
@@ -103,7 +138,7 @@ class Profiles:
         for j, x in enumerate(self.languages):
             self.ranks[np.searchsorted(self.keys, profiles[x]), j] = np.arange(len(profiles[x]))
 
-    def predict(self, coder: Coder, text: str | None) -> tuple[str, float]:
+    def predict(self, coder: Coder | WideCoder, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not LETTERS.search(text):
             return "und", 0.0
         own = ranked(*grams(coder.codes(text)), self.size)
@@ -137,7 +172,7 @@ def learn(docs: DataFrame, fold: Column, max_docs: int = MAX_TRAINING_DOCS) -> P
         yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([k for _, k in found], pa.int64())], ["c", "n"])
 
     counted = chosen.select("text").mapInArrow(letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    alphabet = "".join(r.c for r in counted.orderBy(F.desc("n"), "c").limit(ALPHABET).collect())
+    alphabet = "".join(r.c for r in counted.orderBy(F.desc("n"), "c").limit(ALPHABET + 1).collect())  # one more: code points are used
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, total = new_coder(alphabet), {}

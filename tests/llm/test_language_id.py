@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -66,3 +67,26 @@ def test_edges(spark):
     assert li.identify(docs.limit(0), profiles).count() == 0
     nothing = li.learn(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in li.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_many_scripts(spark):
+    rng = random.Random(8)
+    starts = {"en": (97, 26), "ru": (0x430, 32), "el": (0x3B1, 17), "zh": (0x4E00, 60), "ja": (0x3041, 80), "ko": (0xAC00, 60), "ar": (0x62A, 17), "hi": (0x915, 30), "th": (0xE01, 40)}
+    rows = []
+    for lang, (first, size) in starts.items():
+        letters = [chr(first + i) for i in range(size)]
+        for i in range(60 if lang in ("en", "ru", "el") else 12):
+            rows.append((len(rows), " ".join("".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(80)), lang, i % 4 == 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, held boolean")
+    profiles = li.learn(docs, ~F.col("held"))
+    got = li.identify(docs.where("held"), profiles).join(docs, "doc_id").collect()
+    assert len(got) > 50 and all(r.lang_pred == r.lang for r in got)
+
+
+def test_wide_grams():
+    keys, n = li.grams(li.new_coder("x" * 62).codes("日本 日1\U00020000"))
+    a, b, c, w = ord("日"), ord("本"), 0x20000, li.WIDE
+    one, two, three = (k << 3 * w for k in (1, 2, 3))
+    want = {one + a: 2, one + b: 1, one + c: 1, two + a: 2, two + (a << w | b): 1, two + (b << w): 1, two + (a << w): 1, two + c: 1, two + (c << w): 1}
+    want |= {three + (a << w | b): 1, three + (a << 2 * w | b << w): 1, three + (a << w): 1, three + (c << w): 1}
+    assert dict(zip(keys.tolist(), n.tolist())) == want
