@@ -9,7 +9,8 @@ any other is one more variable field. The constants in their positions are the
 line's template. A template recurs if at least ``MIN_DOCS`` documents have a line
 of it; all its lines are then dropped from the texts. So that lines which merely
 start alike stay, a template must fix half of its positions and agree (by constant
-or recognised field) on ``AGREE`` of them.
+or recognised field) on ``AGREE`` of them. Lines that ``MIN_DOCS`` documents have word
+for word are dropped too, whatever their share of fields.
 
 Everything is counted with grouped sums over hashes of tokens, so a leaf of any
 size spreads over tasks; nothing depends on the order of lines.
@@ -60,8 +61,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts = tokens_of(line)
                     if not parts:
                         continue
-                    leaf, code = _hash(f"{len(parts)} {' '.join(parts[:DEPTH])}"), _hash(" ".join(parts))
-                    rows.append((doc, mark, number, leaf, code, leaf not in leaves, code not in own))
+                    leaf, code, raw = _hash(f"{len(parts)} {' '.join(parts[:DEPTH])}"), _hash(" ".join(parts)), _hash(" ".join(line.split()))
+                    rows.append((doc, mark, number, leaf, code, raw, leaf not in leaves, code not in own))
                     leaves.add(leaf)
                     own.add(code)
                     if code not in known:
@@ -75,7 +76,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             hashes.append(h)
                         tokens.append(hashes)
             n, m = len(rows), len(known)
-            doc, mark, number, leaf, code, in_leaf, in_line = zip(*rows) if rows else [()] * 7
+            doc, mark, number, leaf, code, raw, in_leaf, in_line = zip(*rows) if rows else [()] * 8
             blank = [None] * m
             yield pa.RecordBatch.from_arrays(
                 [
@@ -85,19 +86,35 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([*number, *blank], pa.int32()),
                     pa.array([*leaf, *known.values()], pa.int64()),
                     pa.array([*code, *known], pa.int64()),
+                    pa.array([*raw, *blank], pa.int64()),
                     pa.array([*in_leaf, *blank], pa.bool_()),
                     pa.array([*in_line, *blank], pa.bool_()),
                     pa.array([None] * n + tokens, pa.list_(pa.int32())),
                 ],
-                ["kind", "doc_id", "mark", "number", "leaf", "code", "in_leaf", "in_line", "tokens"],
+                ["kind", "doc_id", "mark", "number", "leaf", "code", "raw", "in_leaf", "in_line", "tokens"],
             )
 
 
+def _parsed(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    schema = "kind int, doc_id long, mark long, number int, leaf long, code long, raw long, in_leaf boolean, in_line boolean, tokens array<int>"
+    return materialize(rows.mapInArrow(_parse, schema), "lines", "kind")
+
+
+def _exact(parsed: DataFrame, min_docs: int) -> DataFrame:
+    """doc_id, mark and number of every line that recurs word for word."""
+    lines = parsed.where("kind = 0").select("doc_id", "mark", "number", "raw")
+    often = lines.select("raw", "doc_id", "mark").distinct().groupBy("raw").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
+    sizes = materialize(lines.groupBy("raw").agg(F.count("*").alias("n")).join(often, "raw"), "exact-lines")
+    return join_hot(lines, sizes.select("raw", "n"), ["raw"], "n", lines.count()).select("doc_id", "mark", "number")
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, mark (hash of the text), number and template of every line whose template recurs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    schema = "kind int, doc_id long, mark long, number int, leaf long, code long, in_leaf boolean, in_line boolean, tokens array<int>"
-    parsed = materialize(rows.mapInArrow(_parse, schema), "lines", "kind")
+    return _recurring(_parsed(docs), min_docs)
+
+
+def _recurring(parsed: DataFrame, min_docs: int) -> DataFrame:
     lines = parsed.where("kind = 0").select("doc_id", "mark", "number", "leaf", "code", "in_leaf", "in_line")
     live = lines.where("in_leaf").groupBy("leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     live, total = materialize(live, "live-leaves"), lines.count()
@@ -117,7 +134,8 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def deduplicate(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text without its recurring lines, n_lines (\\n-split) and n_dropped, of every row."""
-    drop = recurring(docs, min_docs).groupBy("doc_id", "mark").agg(F.collect_set("number").alias("numbers"))
+    parsed = _parsed(docs)
+    drop = _recurring(parsed, min_docs).select("doc_id", "mark", "number").unionByName(_exact(parsed, min_docs)).groupBy("doc_id", "mark").agg(F.collect_set("number").alias("numbers"))
     drop = drop.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "numbers")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     joined = rows.join(drop, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")), "left")

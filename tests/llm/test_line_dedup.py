@@ -75,3 +75,14 @@ def test_edges(spark):
     assert [g for g in got if g[0] == 7] == [(7, "", 1)] * 3 and (None, "", 1) in got and (1, None, 0) in got and (2, "", 0) in got
     assert next(g for g in got if g[0] == 3)[1] == "w " * 100_000
     assert ld.deduplicate(df.limit(0)).count() == 0
+
+
+def test_lines_of_fields_that_recur_word_for_word(spark):
+    often = ["Tel: 555 1234", "2024-01-01 12:00:00 GET 10.0.0.1 200", "2024-01-01", "https://a.example/b"]
+    rows = [(i, f"{'abcdef'[i]}own\n" + "\n".join(often) + f"\n2023-02-0{i} 555 77{i}\n") for i in range(6)]
+    rows += [(10 + i, "only 4 of 7 9 1") for i in range(ld.MIN_DOCS - 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ld.deduplicate(df).collect()}
+    for i in range(6):
+        assert got[i].text == f"{'abcdef'[i]}own\n2023-02-0{i} 555 77{i}\n" and got[i].n_dropped == len(often)
+    assert all(got[10 + i].n_dropped == 0 for i in range(ld.MIN_DOCS - 1))
