@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import SLICE_BYTES, pieces, release_memory, slices
 
 #: Fixed value: how byte-level vocabularies split text into words.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -164,7 +164,10 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str =
     def token_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = _coder(shared)
         for texts in batches:
-            yield pa.array([coder.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+            found = [pa.array([coder.encode(t) for t in part.to_pylist()], pa.list_(pa.int32())) for part in pieces(texts, SLICE_BYTES // 8)]
+            yield pa.concat_arrays(found)
+            del found
+            release_memory()
 
     rest = [c for c in docs.columns if c not in (text, ids, "n_tokens")]
     out = docs.select(*(F.col(f"`{c}`") for c in rest), token_ids.asNondeterministic()(F.col(f"`{text}`")).alias(ids))

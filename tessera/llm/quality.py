@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_side
+from tessera.llm.common import materialize, pieces, release_memory, small_side
 
 WHITE = " \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -98,8 +98,9 @@ def counted(text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [counts(t) for t in texts.to_pylist()]
+            rows = [counts(t) for part in pieces(texts) for t in part.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [()] * len(COUNTS))], fields=list(_COUNTS_TYPE))
+            release_memory()
 
     kind = "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">"
     return F.arrow_udf(run, kind).asNondeterministic()(text)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, join_hot, materialize
+from tessera.llm.common import discard, join_hot, materialize, maybe_among, pieces, release_memory
 from tessera.llm.exact_dedup import LOWER
 
 SHINGLE, SEED, TAU, SEGMENTS, WIDTH = 3, 42, 3, 4, 16
@@ -45,8 +45,6 @@ BLOCK = 2048
 WIDE_ABOVE = 1 << 22
 #: Shingle hashes whose bits are counted at once.
 _STEP = 1 << 15
-#: Ids that may be broadcast (each eight bytes).
-SMALL = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -72,7 +70,9 @@ def fingerprints(text: Column) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(np.fromiter(map(fingerprint, texts.to_pylist()), np.uint64, len(texts)).view(np.int64), pa.int64())
+            found = [np.fromiter(map(fingerprint, part.to_pylist()), np.uint64, len(part)) for part in pieces(texts)]
+            yield pa.array(np.concatenate(found).view(np.int64), pa.int64())
+            release_memory()
 
     return F.arrow_udf(run, "bigint").asNondeterministic()(text)
 
@@ -216,11 +216,11 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ids = placed.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(stays).alias("__stays"))
     ids = materialize(ids, "kept-ids")
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    gone = ids.where("not __stays or __n > 1")
-    if gone.limit(SMALL + 1).count() <= SMALL:  # few go: no need to move the texts
-        single = whole.join(F.broadcast(gone), whole["doc_id"].eqNullSafe(gone["__id"]), "left_anti").select("row.*")
-    else:
-        single = whole.join(ids.where("__stays and __n = 1"), whole["doc_id"].eqNullSafe(ids["__id"])).select("row.*")
+    # rows outside a filter of the dropped ids stay where they are; only the others move
+    marked = maybe_among(whole, "doc_id", ids.where("not __stays or __n > 1").select("__id"), "__maybe")
+    asked = marked.where("__maybe").drop("__maybe")
+    sure = asked.join(ids.where("__stays and __n = 1"), asked["doc_id"].eqNullSafe(ids["__id"])).select("row.*")
+    single = marked.where("not __maybe").select("row.*").unionByName(sure)
     kept = whole.join(ids.where("__stays and __n > 1"), whole["doc_id"].eqNullSafe(ids["__id"]))
     if ids.where("__stays and __n > 1").limit(1).count() == 0:
         return single

@@ -45,6 +45,25 @@ def test_recursive_partitioning(spark):
     check(spark, ROWS + [(100 + i, f"text {i % 37}") for i in range(200)], bucket_bytes=2000)
 
 
+def test_only_oversize_buckets_are_cut_again(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "TABLE_BYTES", 1500)  # the common text leaves every local table
+    rows = ROWS[:8] + [(100 + i, "common " * 40 if i % 3 else f"text {i}") for i in range(300)]
+    check(spark, rows, bucket_bytes=2000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    from pyspark.sql import functions as F
+
+    _, levels = exact_dedup._partitioned(docs, F.struct("text"), 100)
+    buckets = [{r.bucket for r in level.select("bucket").distinct().collect()} for level in levels]
+    assert len(levels) > 1 and all(len(b) == len(next(iter(bs))) for bs in buckets if bs for b in bs)
+    for shallow, deep in zip(buckets, buckets[1:]):
+        assert not any(b.startswith(a) for a in shallow for b in deep)
+    table = exact_dedup._Bucket(True)
+    record = exact_dedup._records(1, *[[k] * 1 for k in (7,)], ["ab" * 32], [3], [5], [2], [4], exact_dedup.pa.array([{"text": "Same"}]))
+    for _ in range(5000):
+        table.add(record)
+    assert table.size == [10000] and len(table.table.contents) == 1 and len(table.rows) == 1
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.classify(docs).count() == 0
