@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.scanner import ScanConfig, scan_bytes
+from tessera.operators.scanner import Diagnostic, ScanConfig, scan_bytes
 from tessera.sources.documents import from_lines, lines
 
 # character edits ------------------------------------------------------------
@@ -70,40 +70,65 @@ def count(edits: DataFrame, cursor: int | None = None) -> DataFrame:
 
 # repairs --------------------------------------------------------------------
 
-#: What a repair says, and what it does at the reported column: (pattern of the repair, pattern there, replacement).
-REPAIRS: tuple[tuple[str, bytes, bytes], ...] = (
-    (r"Change to </(.+)>\Z", rb"</[^>\s]+", rb"</\1"),
-    (r"Insert (</.+)\Z", rb"", rb"\1"),
-    (r".*&amp;", rb"&", b"&amp;"),
-    (r".*double quotes", rb"([^\s>/]+)", rb'"\g<1>"'),
-    (r".*'- -'", rb"--", b"- -"),
-    (r".*\]\]&gt;", rb"\]\]>", b"]]&gt;"),
-    (r"Remove the duplicate attribute", rb"""[^\s=]+\s*=\s*("[^"]*"|'[^']*')""", b""),
-    (r"Delete this end tag", rb"</[^>]*>", b""),
-    (r"Escape the '<' as &lt;", rb"<", b"&lt;"),
-)
+#: Fixed value: what is said of a repair that nobody can make here.
 MANUAL = "needs a schema-aware fixer"
+_VALUE, _ATTRIBUTE, _CLOSING = (re.compile(p) for p in (rb"[^\s>/]+", rb"""[^\s=]+\s*=\s*(?:"[^"]*"|'[^']*')""", rb"</([^>\s]*)[^>]*>?"))
 
+#: A repair takes the document, the offset of the fault and the text after the verb of its suggestion.
+#: It returns the bytes [start, end) to replace and what to put there, or None if it finds something else there.
+Change = tuple[int, int, bytes] | None
+
+
+def _escape(found: bytes, escaped: bytes) -> Callable[[bytes, int, str], Change]:
+    return lambda content, at, _: (at, at + len(found), escaped) if content.startswith(found, at) else None
+
+
+def _quote(content: bytes, at: int, _: str) -> Change:
+    if not (m := _VALUE.match(content, at)):
+        return None
+    head = content[:at].rstrip()
+    return (len(head) if head.endswith(b"=") else at), m.end(), b'"' + m[0] + b'"'
+
+
+def _drop_attribute(content: bytes, at: int, _: str) -> Change:
+    m = _ATTRIBUTE.match(content, at)
+    return m and (len(content[:at].rstrip()), m.end(), b"")
+
+
+def _drop_end_tag(content: bytes, at: int, _: str) -> Change:
+    m = _CLOSING.match(content, at)
+    return m and (at, m.end(), b"")
 
-def repair_line(line: bytes, col: int, fix: str) -> bytes | None:
-    """The line with one repair applied at byte column ``col`` (from 1); None if the repair cannot be made here."""
-    before, after = line[: max(0, col - 1)], line[max(0, col - 1) :]
-    for says, there, new in REPAIRS:
-        m = re.match(says, fix)
-        if not m:
-            continue
-        if m.groups():
-            name = m[1].encode()
-            new = name if there == b"" else b"</" + name
-            out = new + after if there == b"" else re.sub(rb"\A" + there, lambda _: new, after, count=1)
-        else:
-            out = re.sub(rb"\A(?:" + there + rb")", new, after, count=1)
-        if "double quotes" in fix:
-            before = re.sub(rb"=\s*\Z", b"=", before)
-        elif "duplicate" in fix:
-            before = before.rstrip()
-        return before + out if before + out != line else None
-    return None
+
+def _close_other(content: bytes, at: int, suggestion: str) -> Change:
+    """The end tag gets the open element's name, or the elements still open are closed before it."""
+    verb, _, tags = suggestion.partition(" ")
+    if verb == "Insert":
+        return at, at, tags.encode()
+    m = _CLOSING.match(content, at)
+    return m and (at + 2, m.end(1), tags.removeprefix("to </").removesuffix(">").encode())
+
+
+def _close_all(content: bytes, at: int, suggestion: str) -> Change:
+    return len(content), len(content), suggestion.partition(" ")[2].encode()
+
+
+_AMPERSAND = _escape(b"&", b"&amp;")
+REPAIRS: dict[str, Callable[[bytes, int, str], Change]] = {
+    "D02": _AMPERSAND, "D06": _AMPERSAND, "D07": _AMPERSAND,
+    "D03": _escape(b"]]>", b"]]&gt;"), "D08": _escape(b"<", b"&lt;"), "D23": _escape(b"--", b"- -"),
+    "D11": _drop_attribute, "D14": _quote, "D18": _drop_end_tag, "D19": _close_other, "D27": _close_all,
+}
+
+
+def repair_one(content: bytes, error: Diagnostic) -> bytes | None:
+    """The document with the fault's suggestion applied; None if it cannot be applied."""
+    at = error.offset - (error.code == "D08")  # reported at the byte after the '<'
+    change = REPAIRS[error.code](content, at, error.fix) if error.fix and error.code in REPAIRS else None
+    if not change or content[change[0] : change[1]] == change[2]:
+        return None
+    start, end, new = change
+    return content[:start] + new + content[end:]
 
 
 def repair(content: bytes, rounds: int = 1000) -> tuple[bytes, int, list[str]]:
@@ -115,19 +140,10 @@ def repair(content: bytes, rounds: int = 1000) -> tuple[bytes, int, list[str]]:
         if e is None:
             left = [e.fix for e in errors]
             break
-        if e.fix.startswith("Append "):
-            new = content + e.fix.removeprefix("Append ").encode()
-        else:
-            rows = content.split(b"\n")
-            # an error found later may start on an earlier line: its own offset decides
-            line, col = content.count(b"\n", 0, e.offset), e.offset - (content.rfind(b"\n", 0, e.offset) + 1) + 1
-            line = min(line, len(rows) - 1)
-            fixed = repair_line(rows[line], col - (e.code == "D08"), e.fix)
-            new = b"\n".join([*rows[:line], fixed, *rows[line + 1 :]]) if fixed is not None else None
-        if new is None or new == content:
+        if (new := repair_one(content, e)) is None:
             skip.add((e.code, e.fix, e.offset))
-            continue
-        content, made = new, made + 1
+        else:
+            content, made = new, made + 1
     return content, made, left
 
 

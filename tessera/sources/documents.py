@@ -14,8 +14,8 @@ from tessera.sources.arrow import RowBuffer
 #: Up to this size a document is handled in memory as one cell; larger ones are read in chunks.
 IN_MEMORY_LIMIT = 16 << 20
 HEAD_BYTES, CHUNK_BYTES = 2 << 20, 8 << 20
-CITIES = ("Aalborg", "Bergen", "Coruña", "Dresden", "Évora", "Göteborg", "Łódź", "Zürich")
-PRODUCTS = ("Anvil", "Bellows", "Chisel", "Drill", "Easel", "File", "Gimlet", "Hammer", "Jig")
+HARBOURS = ("Tórshavn", "Sète", "Ribe", "Gdańsk", "Vardø", "Hull")
+SKIES = ("clear", "haze &amp; sun", "overcast", "squalls", "sleet")
 
 
 def read_documents(spark: SparkSession, *paths: str) -> DataFrame:
@@ -85,56 +85,47 @@ def checkpoints(rows: DataFrame, stride: int = 32) -> DataFrame:
 
 # generated corpora ------------------------------------------------------------
 
-HEADER = '<?xml version="1.0" encoding="UTF-8"?>\n<!-- generated corpus -->\n<PurchaseOrders xmlns="urn:sample:orders">\n'
-FOOTER = "</PurchaseOrders>\n"
+HEADER = '<?xml version="1.0" encoding="UTF-8"?>\n<buoys xmlns="urn:sample:buoys">\n'
+FOOTER = "</buoys>\n"
+#: No report of ``buoy_report`` is longer than this.
+REPORT_BYTES = 250
 
 
-def order_record(i: Column) -> Column:
-    """One order of ten elements and four attributes, from its number."""
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+def buoy_report(i: Column) -> Column:
+    """One report of ten elements and four attributes; its values are drawn from hashes of its number."""
+    draw = lambda salt, n: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(n))
+    pick = lambda salt, values: F.element_at(F.array(*map(F.lit, values)), (draw(salt, len(values)) + 1).cast("int"))
     text = (
-        '  <PurchaseOrder id="%d" date="2026-01-15">\n    <Address type="Ship"><Name>Customer %d</Name><City>%s</City><Zip>%05d</Zip></Address>\n'
-        '    <Items><Item PartNumber="P-%06d"><ProductName>%s</ProductName><Quantity>%d</Quantity><USPrice>%d.99</USPrice></Item></Items>\n  </PurchaseOrder>\n'
+        ' <report seq="%d"><buoy code="b%x" depth="%d"><port>%s</port><drift>%.3f</drift></buoy>\n'
+        '  <sea><swell unit="m">%.1f</swell><period>%d</period></sea><air><sky>%s</sky><hpa>%d</hpa></air>\n </report>\n'
     )
-    return F.format_string(text, i, i, pick(CITIES), i % 99999, i % 999999, pick(PRODUCTS), i % 9 + 1, i % 997)
+    return F.format_string(text, i, draw("code", 1 << 20), draw("depth", 400), pick("port", HARBOURS), draw("drift", 90_000) / 1e3, draw("swell", 120) / 10.0, draw("period", 18) + 3, pick("sky", SKIES), draw("hpa", 90) + 960)
+
+
+def _reports(first: Column, n: int) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: buoy_report(first + k)), "") if n else F.lit("")
+
+
+def _documents(spark: SparkSession, n: int, kind: str, body: Column) -> DataFrame:
+    made = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string(f"{kind}-%d.xml", "id").alias("name"), F.concat(F.lit(HEADER), body, F.lit(FOOTER)).cast("binary").alias("content"))
+    return made.withColumn("n_bytes", F.octet_length("content").cast("long"))
 
 
 def generate(spark: SparkSession, documents: int, records: int) -> DataFrame:
-    """``documents`` documents of ``records`` orders each, made on the executors."""
-    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(records - 1)), lambda k: order_record(F.col("id") * records + k)), "") if records else F.lit("")
-    content = F.concat(F.lit(HEADER), body, F.lit(FOOTER)).cast("binary")
-    return spark.range(documents).select(F.col("id").alias("doc_id"), F.format_string("corpus-%d.xml", "id").alias("name"), content.alias("content")).withColumn("n_bytes", F.octet_length("content").cast("long"))
+    """``documents`` documents of ``records`` reports each, made on the executors."""
+    return _documents(spark, documents, "corpus", _reports(F.col("id") * records, records))
 
 
 def generate_size(spark: SparkSession, size: int, documents: int = 1) -> DataFrame:
     """As ``generate``, for about ``size`` bytes in all (no more)."""
-    record = len(HEADER.encode()) + len(FOOTER.encode())
-    per = max(0, (size // documents - record - 512) // 330)
-    return generate(spark, documents, per)
-
-
-def rich_record(n: int) -> str:
-    """One order with two items, an entity and a city beyond ASCII, from its number."""
-    number, city = 100_000 + n, CITIES[n % len(CITIES)]
-    item = lambda part, product, quantity, price, more="": f'      <Item PartNumber="{part}"><ProductName>{product}</ProductName><Quantity>{quantity}</Quantity><USPrice>{price:.2f}</USPrice>{more}</Item>\n'
-    return (
-        f'  <PurchaseOrder OrderNumber="{number}" OrderDate="2026-0{1 + n % 9}-{1 + n % 28:02d}" Priority="{("low", "normal", "high")[n % 3]}">\n'
-        f'    <Address Type="Shipping"><Name>Customer {n}</Name><Street>{n % 999} Long Street</Street><City>{city}</City><Zip>{10_000 + n % 89_999}</Zip></Address>\n    <Items>\n'
-        + item(f"{n % 900}-A", PRODUCTS[n % len(PRODUCTS)], 1 + n % 5, 19.99 + n % 400)
-        + item(f"{n % 700}-B", PRODUCTS[n * 7 % len(PRODUCTS)], 1 + n % 3, 4.5 + n % 90, f"<Comment>Batch {n // 16} &amp; lot {n % 16}</Comment>")
-        + "    </Items>\n  </PurchaseOrder>\n"
-    )
+    around = len((HEADER + FOOTER).encode())
+    return generate(spark, documents, max(0, (size // documents - around) // REPORT_BYTES))
 
 
 def generate_repeated(spark: SparkSession, documents: int, size: int, template_bytes: int = 1 << 20) -> DataFrame:
-    """Documents of about ``size`` bytes each, one template of records repeated (made on the executors)."""
-    parts, made, n = [], 0, 0
-    while made < min(size, template_bytes):
-        parts.append(rich_record(n))
-        made, n = made + len(parts[-1].encode()), n + 1
-    body = F.repeat(F.lit("".join(parts)), max(1, round(size / made)))
-    content = F.concat(F.lit(HEADER), body, F.lit(FOOTER)).cast("binary")
-    return spark.range(documents).select(F.col("id").alias("doc_id"), F.format_string("repeated-%d.xml", "id").alias("name"), content.alias("content")).withColumn("n_bytes", F.octet_length("content").cast("long"))
+    """Documents of about ``size`` bytes each: one template of reports, repeated (made on the executors)."""
+    template = _reports(F.lit(0), max(1, min(size, template_bytes) // REPORT_BYTES))
+    return _documents(spark, documents, "repeated", F.transform(F.array(template), lambda t: F.repeat(t, F.greatest(F.lit(1), F.round(F.lit(size) / F.octet_length(t)).cast("int"))))[0])
 
 
 def goto(rows: DataFrame, line: int) -> DataFrame:

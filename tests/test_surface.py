@@ -1,30 +1,30 @@
 from tessera import cli
 from tessera.functions import sql
 from tessera.operators.scanner import scan_bytes
-from tessera.sources.samples import BROKEN, ORDERS
+from tessera.sources.samples import BROKEN, LOGBOOK
 
 
 def test_table_functions(spark):
     sql.register(spark)
-    spark.createDataFrame([(1, ORDERS.encode()), (2, b"<a>x\nx</a>"), (3, None)], "doc_id long, content binary").createOrReplaceTempView("docs")
+    spark.createDataFrame([(1, LOGBOOK.encode()), (2, b"<a>x\nx</a>"), (3, None)], "doc_id long, content binary").createOrReplaceTempView("docs")
     counted = spark.sql("SELECT d.doc_id, count(*) n FROM docs d, LATERAL xml_elements(d.content) e GROUP BY d.doc_id").collect()
-    assert {r.doc_id: r.n for r in counted} == {1: 49, 2: 1}
-    paths = spark.sql("SELECT e.path, e.text FROM docs d, LATERAL xml_elements(d.content) e WHERE e.name = 'Comment'").collect()
-    assert paths == [("/PurchaseOrders[1]/PurchaseOrder[1]/Items[1]/Item[1]/Comment[1]", "Electric model")]
+    assert {r.doc_id: r.n for r in counted} == {1: 19, 2: 1}
+    paths = spark.sql("SELECT e.path, e.text FROM docs d, LATERAL xml_elements(d.content) e WHERE e.name = 'remark'").collect()
+    assert paths == [("/logbook[1]/watch[1]/reading[2]/remark[1]", "thick fog")]
     hits = spark.sql("SELECT h.line, h.col FROM docs d, LATERAL xml_search(d.content, 'X', true) h WHERE d.doc_id = 2").collect()
     assert hits == [(1, 4), (2, 1)]
 
 
 def test_command_line(spark, tmp_path, capsys):
     good, bad, out = tmp_path / "good.xml", tmp_path / "bad.xml", str(tmp_path / "out")
-    good.write_text(ORDERS)
+    good.write_text(LOGBOOK)
     bad.write_text(BROKEN)
     run = lambda *args: cli.main([str(a) for a in args], spark)
-    assert run("wf", good) == 0 and "49 elements" in capsys.readouterr().out
-    assert run("wf", bad) == 1 and "bad.xml:6:21: error:" in capsys.readouterr().out
+    assert run("wf", good) == 0 and "19 elements" in capsys.readouterr().out
+    assert run("wf", bad) == 1 and "bad.xml:4:17: error:" in capsys.readouterr().out
     assert run("index", good, bad, "--out", out) == 0 and run("info", out) == 0
-    assert "PurchaseOrders, PurchaseOrder" in capsys.readouterr().out
-    assert run("search", "Zip", good) == 0 and run("search", "ZIP", good) == 1 and run("search", "-i", "ZIP", good) == 0
+    assert "logbook, keeper, watch" in capsys.readouterr().out
+    assert run("search", "wind", good) == 0 and run("search", "WIND", good) == 1 and run("search", "-i", "WIND", good) == 0
     assert "offset" in capsys.readouterr().out
     assert run("gen", "--size", "100KiB", "--documents", "2", "--out", out) == 0
     made = spark.read.parquet(out).collect()
