@@ -71,8 +71,13 @@ def _files_go(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table of ``materialize`` that nothing reads any more."""
+def discard(table: DataFrame, part: str = "") -> None:
+    """Delete a table of ``materialize``, or one folder (``column=value``) of it, that nothing reads any more."""
+    if part:
+        for spark, path in _ours:
+            if path == _path_of.get(id(table)):
+                _delete(spark, f"{path}/{part}")
+        return
     path = _path_of.pop(id(table), None)
     for entry in [e for e in _ours if e[1] == path]:
         _ours.remove(entry)
