@@ -11,16 +11,20 @@ is part of the site's frame.
     inner     (1 - g^l) * entropy of presentations + g^l * mean importance of children
 
 with l children and g = ``DECAY``. Branches that are below ``THRESHOLD`` with all
-that hangs on them are removed from each page of the host. Presentation can also state a role outright: elements for
-navigation, forms, adverts, comments and so on have importance 0, and those for
-the article itself 1, whatever their entropies (a host may show one article often).
-If a page has an article, its text is that; otherwise it is what is left of the body.
+that hangs on them are removed from each page of the host, inside a stated article
+too. Presentation can also state a role: elements for navigation, adverts, comments
+and so on (and forms, unless an article is in them) have importance 0, whatever their
+entropies, since menus and comments may differ from page to page. The article itself
+has a prior: a branch inside it is frame only if it hardly ever changes while the
+article as a whole does. If a page has an article or main block, its text is what is
+left of the strongest such blocks; otherwise what is left of the body.
 
 Statistics cover all pages. Only nodes on at least ``MIN_SHARE`` of a host's pages
 can be frame, so the model of a host is bounded by the size of a page.
 
 Inputs: null html is empty; a null url belongs to the host ''. Pages are read
-whole and may end anywhere. Repeated rows are extracted alike. Extra columns are
+whole, of any length, and may end anywhere. Of two nodes with equal importance both or
+none are frame, so ties need no rule. Repeated rows are extracted alike. Extra columns are
 ignored. Empty tables give empty results.
 """
 
@@ -38,11 +42,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, slices
+from tessera.llm.common import HOT_SHARE, materialize, release_memory, slices
 
 THRESHOLD, DECAY, MIN_PAGES, MIN_SHARE = 0.4, 0.9, 4, 0.1
-#: Pieces into which the pages of a host are dealt when they meet its model.
-SALT = 32
+#: Importance that a node inside a stated article has before anything is known of it.
+STATED = 0.35
 _REMEMBERED = 20_000
 
 #: Fixed values of HTML: element classes and elements without content.
@@ -66,6 +70,8 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 NEUTRAL, NOISE, WEAK, STRONG, HEADER = range(5)
+#: What leaves an element's text out: a form around it (until an article begins), or a role that nothing inside undoes.
+FORM, OUT = 1, 2
 _described: dict[tuple[str, str], tuple[str, int]] = {}
 
 
@@ -113,6 +119,8 @@ def _describe(tag: str, attributes: str) -> tuple[str, int]:
 
 
 class _Element:
+    """An open element. Its path holds the signature's hash and, lowest, whether it is inside a stated article."""
+
     __slots__ = ("tag", "path", "noise", "main", "block", "children", "branch")
 
     def __init__(self, tag, path, noise, main, block, branch):
@@ -141,7 +149,7 @@ class Page:
         self.blocks: list[tuple[int, int, tuple[int, ...], str]] = []
         #: path -> (parent, presentations seen)
         self.nodes: dict[int, tuple[int, set[str]]] = {}
-        self._stack = [_Element("", 0, False, NEUTRAL, True, ())]
+        self._stack = [_Element("", 0, 0, NEUTRAL, True, ())]
         self._text: list[str] = []
         self._parse(html or "")
 
@@ -193,12 +201,12 @@ class Page:
         if tag == "hr":
             return
         main = max(parent.main, role if role in (WEAK, STRONG) else NEUTRAL)
-        if tag == "article" and not parent.noise:
-            main = STRONG + 1
-        noise = parent.noise or role == NOISE or role == HEADER and parent.main < STRONG
+        noise = max(parent.noise, FORM if tag == "form" else OUT if role == NOISE or role == HEADER and parent.main < STRONG else 0)
+        if role == STRONG and noise == FORM:  # a form around the whole page
+            noise = 0
         if block:
             nearest = parent if parent.block else next(e for e in reversed(stack) if e.block)
-            path = _path(nearest.path, signature)
+            path = _path(nearest.path, signature) & ~1 | (main > NEUTRAL)
             nearest.children.append(signature)
             stack.append(_Element(tag, path, noise, main, True, (*nearest.branch, path)))
         else:
@@ -248,9 +256,7 @@ class Page:
 
     def text(self, frame: frozenset[int] | set[int]) -> str:
         best = max((b[1] for b in self.blocks), default=NEUTRAL)
-        if best >= WEAK:
-            return "\n".join(b[3] for b in self.blocks if b[1] >= best)
-        return "\n".join(b[3] for b in self.blocks if not frame.intersection(b[2]))
+        return "\n".join(b[3] for b in self.blocks if b[1] >= best and not frame.intersection(b[2]))
 
 
 def host_of(url: Column) -> Column:
@@ -262,7 +268,12 @@ def _content(text: str) -> int:
 
 
 def composite(nodes: pd.DataFrame) -> list[int]:
-    """Paths that are frame. ``nodes`` (path, parent, looks, contents; the last null without text) are one host's."""
+    """Paths that are frame. ``nodes`` (path, parent, looks, contents; the last null without text) are one host's.
+
+    Inside a stated article a node starts with the prior ``STATED``, and only branches of
+    an article that matters as a whole can be frame: if a host shows one article again
+    and again, entropies cannot tell its text from its frame.
+    """
     rows = {r.path: r for r in nodes.itertuples()}
     children: dict[int, list[int]] = {}
     for r in rows.values():
@@ -280,9 +291,15 @@ def composite(nodes: pd.DataFrame) -> list[int]:
         inner = sum(parts) / len(parts) if parts else r.looks
         weight = DECAY ** len(below)
         importance[p] = (1 - weight) * max(r.looks, inner) + weight * inner if below else inner
+    silent: set[int] = set()  # parts of articles of which nothing can be told, their tops first
+    for p in order:
+        parent = rows[p].parent
+        if p & 1 and (parent in silent or not (parent in rows and parent & 1) and importance[p] < THRESHOLD):
+            silent.add(p)
     noise: set[int] = set()
     for p in reversed(order):
-        if importance[p] < THRESHOLD and all(c in noise for c in children.get(p, [])):
+        own = STATED + (1 - STATED) * importance[p] if p & 1 else importance[p]
+        if own < THRESHOLD and p not in silent and all(c in noise for c in children.get(p, [])):
             noise.add(p)
     return sorted(noise)
 
@@ -328,13 +345,18 @@ def frames(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of(F.col("url").cast("string")).alias("host"))
-    model = materialize(frames(rows).where(F.size("frame") > 0), "frames").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(model, ["host", "salt"], "left")
+    model = materialize(frames(rows), "frames")
+    sizes = materialize(rows.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    total = sizes.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    hot = sizes.where(F.col("pages") > F.lit(total * HOT_SHARE)).join(model, "host", "left").select("host", "frame")  # at most 1 / HOT_SHARE hosts
+    cold = rows.join(F.broadcast(hot.select("host")), "host", "left_anti").join(model, "host", "left")
+    dealt = rows.join(F.broadcast(hot), "host").unionByName(cold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "html"):
                 texts = [Page(html).text(frozenset(frame or ())) for html, frame in zip(batch.column("html").to_pylist(), batch.column("frame").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            release_memory()
 
     return dealt.select("page_id", "url", "html", "frame").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -18,6 +18,7 @@ def text(html, frame=()):
     ("<article><p>a &lt;b&gt; &#65;&#x42; &nbsp; &unknown; &am</p><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></article>", "a <b> AB &unknown; &am\nx\ny\n1\n2"),
     ("<article><p>cut off in the mid", "cut off in the mid"), ("<article><p>quote <a title=\"x>y</a> z</p></article>", "quote y z"), ("<article><p>1 < 2 and <3</p><!-- <p>no</p> --></article>", "1 < 2 and <3"),
     ("<article><p>a<span class='advert'>ad</span>b <button>Go</button></p></article>", "ab"), ("<div>x</div><script>if (a<b) {}", "x"), ("<article><pre>k\n  v</pre>tail</article>", "k v\ntail"),
+    ("<form id='aspnet'><nav>m</nav><input><main><p>lead</p><article><p>in a form</p></article></main><p>field</p></form>", "lead\nin a form"), ("<form><label>L</label>no</form><p>yes</p>", "yes"),
     ("<body><div hidden>no</div><p>yes</p><div role='navigation'>no</div></body>", "yes"), ("<textarea><p>no</p></textarea><p>yes", "yes"), ("<article></article><p>only this</p>", "only this"),
 ])
 def test_pages(html, want):
@@ -87,3 +88,34 @@ def test_article_text_stays_though_it_repeats(spark):
     page = "<body><nav>m</nav><article><p>Same text on every page of the site</p></article></body>"
     df = spark.createDataFrame([(i, "http://h.example/", page) for i in range(30)], "page_id long, url string, html string")
     assert {r.text for r in he.extract(df).collect()} == {"Same text on every page of the site"}
+
+
+def test_the_tree_decides_inside_the_article(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    say = lambda k: " ".join(rng.choices(words, k=k))
+    heads = [say(3) for _ in range(6)]
+    bodies = [[(rng.choice(heads), say(30)) for _ in range(3)] for _ in range(50)]
+    page = lambda parts: "<article>" + "".join(f"<h2>{h}</h2><p>{p}</p>" for h, p in parts) + "<div class='q9'><span>Members read two more for free</span></div></article>"
+    rows = [(i, "https://n.example/a", page(parts)) for i, parts in enumerate(bodies)] + [(90, "https://one.example/", page(bodies[0]))]
+    rows += [(100 + i, "https://copies.example/", page(bodies[1])) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in he.extract(df).collect()}
+    for i, parts in enumerate(bodies):  # headings that recur are text; what every page says is not
+        assert got[i] == "\n".join(x for part in parts for x in part)
+        assert text(rows[i][2]) == got[i] + "\nMembers read two more for free"
+    assert got[90].endswith("for free")  # one page tells nothing
+    assert all("w" in got[100 + i] and got[100 + i].endswith("for free") for i in range(20))  # nor do copies of one
+    long = "<article>" + "<p>" + "very long text " * 200_000 + "</p></article>"
+    assert he.extract(spark.createDataFrame([(1, "http://l.example/", long)], df.schema)).first().n_chars == 3_000_000 - 1
+
+
+def test_hosts_hot_and_cold_are_extracted_alike(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "http://a.example/", h) for i, h in enumerate(site(rng, 40))] + [(100 + i, f"http://h{i % 3}.example/", h) for i, h in enumerate(site(rng, 30))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(tuple(r) for r in he.extract(df).collect())
+    monkeypatch.setattr(he, "HOT_SHARE", 0.5)
+    assert sorted(tuple(r) for r in he.extract(df).collect()) == want
+    monkeypatch.setattr(he, "HOT_SHARE", 1.0)
+    assert sorted(tuple(r) for r in he.extract(df).collect()) == want
