@@ -1,107 +1,97 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source, in hash order, form blocks. With weight a/Q a source is
-owed a of every Q slots: its block j may run from slot floor(j Q / a) on and must
-run before slot ceil((j + 1) Q / a). Earliest deadline first over these windows
-meets every deadline, so at any slot every source has had its share to within less
-than one block. Because weights are multiples of 1/Q, all shares are even again
-after Q slots and the pattern repeats: one period is scheduled on the driver and
-the slot of every block follows in closed form, on the executors.
+The documents of a source, in hash order, form blocks. With weight w (of all weights
+together, exactly as given) its block j is released at slot floor(j / w) and has the
+deadline ceil((j + 1) / w). Earliest deadline first among the released blocks meets
+every deadline, so at any slot every source has had its share to within less than
+one block.
+
+The schedule is made on the driver, from the sources' sizes alone. It has at most
+``MAX_SLOTS`` slots: a block holds ``BLOCK`` documents, or as many more as a larger
+corpus needs to have no more blocks than that. Its slots are broadcast.
 
 When a source has no blocks left the others go on with their weights scaled up
-(a new phase, with its own period); no document is dropped or repeated. Sources
-without a target weight follow after all others, in equal shares.
+(a new phase); no document is dropped or repeated. Sources without a target weight
+follow after all others, in equal shares.
 
 Inputs: a null source is the source ''; null ids and repeated rows are placed like
 any other row (each gets a position of its own). Without weights the target is the
 ``TEMPERATURE`` power of the sources' sizes. Texts are never read except for
-breaking ties. Extra columns pass through ``mix``. Empty tables give empty results.
+breaking ties, so their length does not matter; blocks with the same deadline go by
+the larger weight, then by the source's name. Extra columns pass through ``mix``.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from fractions import Fraction
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_side
-
-PERIOD, BLOCK, TEMPERATURE = 1024, 16, 0.5
-#: The schedule is made on the driver; more sources than this are refused.
-MAX_SOURCES = 1000
-BUCKET_ROWS = 20_000
-
-
-@dataclass(frozen=True)
-class Run:
-    """Blocks first <= k < last of a source take slot base + (j // len) * period + pattern[j % len], j = k - first."""
+from tessera.llm.common import materialize, small_side
 
-    source: str
-    first: int
-    last: int
-    base: int
-    period: int
-    pattern: tuple[int, ...]
+BLOCK, TEMPERATURE = 16, 0.5
+#: The schedule is made on the driver and broadcast; more sources are refused, and blocks grow before there are more slots.
+MAX_SOURCES, MAX_SLOTS = 1000, 1 << 18
+#: Documents of all sources that one task puts in order, about.
+BUCKET_ROWS = 4_000
 
 
-def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of a period for each source, one at least, by largest remainders."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    got = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (got[s] - exact[s], s))
-    for s in order[: max(0, period - sum(got.values()))]:
-        got[s] += 1
-    while (over := sum(got.values()) - period) > 0:
-        for s in sorted((s for s in got if got[s] > 1), key=lambda s: (exact[s] - got[s], s))[:over]:
-            got[s] -= 1
-    return got
+def block_size(counts: dict[str, int], block: int = BLOCK, max_slots: int = MAX_SLOTS) -> int:
+    """Documents a block: ``block``, or the least number with which no more than ``max_slots`` (and one a source) are needed."""
+    return max(block, ceil(sum(counts.values()) / max_slots))
 
 
-def one_period(quota: dict[str, int], period: int) -> list[str]:
-    """The source of each slot: earliest deadline first among the blocks released."""
-    later = [(0, s, 0) for s in sorted(quota)]  # release, source, block
+def one_phase(weights: dict[str, float], left: dict[str, int]) -> list[str]:
+    """The source of each slot until one of them has no blocks left: earliest deadline first among the blocks released."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    # block j of s is released at floor(j * up / down)
+    pace = {s: ((total / w).numerator, (total / w).denominator) for s, w in exact.items()}
+    later = [(0, s, 0) for s in sorted(exact)]  # release, source, block
     heapq.heapify(later)
-    ready: list[tuple[int, int, str, int]] = []
-    slots = []
-    for t in range(period):
-        while later and later[0][0] <= t:
+    ready: list[tuple[int, Fraction, str, int]] = []
+    slots: list[str] = []
+    while True:
+        while later and later[0][0] <= len(slots):
             _, s, j = heapq.heappop(later)
-            heapq.heappush(ready, (-(-(j + 1) * period // quota[s]), -quota[s], s, j))
+            up, down = pace[s]
+            heapq.heappush(ready, (-(-(j + 1) * up // down), -exact[s], s, j))
         _, _, s, j = heapq.heappop(ready)
         slots.append(s)
-        if j + 1 < quota[s]:
-            heapq.heappush(later, ((j + 1) * period // quota[s], s, j + 1))
-    return slots
+        if j + 1 == left[s]:
+            return slots
+        up, down = pace[s]
+        heapq.heappush(later, ((j + 1) * up // down, s, j + 1))
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[Run]:
+def schedule(blocks: dict[str, int], weights: dict[str, float]) -> list[str]:
+    """The source of every slot, until all blocks are placed."""
     left = {s: n for s, n in blocks.items() if n}
-    period = max(period, 1 << (4 * len(left)).bit_length())
-    done, base, runs = dict.fromkeys(left, 0), 0, []
+    slots: list[str] = []
     while left:
-        active = {s: weights.get(s, 0.0) for s in left if weights.get(s, 0.0) > 0} or dict.fromkeys(left, 1.0)
-        quota = quotas(active, period)
-        slots = one_period(quota, period)
-        whole = min(left[s] // quota[s] for s in active)
-        spare = {s: left[s] - whole * quota[s] for s in active}
-        used = 0
-        while spare[slots[used]]:
-            spare[slots[used]] -= 1
-            used += 1
-        for s in active:
-            took = left[s] - spare[s]
-            if took:
-                runs.append(Run(s, done[s], done[s] + took, base, period, tuple(i for i, x in enumerate(slots) if x == s)))
-            done[s] += took
-            left[s] -= took
-            if not left[s]:
-                del left[s]
-        base += whole * period + used
-    return runs
+        active = {s: weights[s] for s in left if weights.get(s, 0.0) > 0} or dict.fromkeys(left, 1.0)
+        phase = one_phase(active, left)
+        for s in phase:
+            left[s] -= 1
+        left = {s: n for s, n in left.items() if n}
+        slots += phase
+    return slots
+
+
+def slot_table(docs: DataFrame, slots: list[str]) -> DataFrame:
+    """__source, __block and slot of every block."""
+    had: dict[str, int] = {}
+    block = []
+    for s in slots:
+        had[s] = had.get(s, 0) + 1
+        block.append(had[s] - 1)
+    columns = {"__source": pa.array(slots, pa.string()), "__block": pa.array(block, pa.int64()), "slot": pa.array(range(len(slots)), pa.int64())}
+    return materialize(docs.sparkSession.createDataFrame(pa.table(columns)), "slots")
 
 
 def _placed(docs: DataFrame, kept: list[Column], weights: dict[str, float] | None, block: int) -> DataFrame:
@@ -113,8 +103,8 @@ def _placed(docs: DataFrame, kept: list[Column], weights: dict[str, float] | Non
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     target = {s: float(n) ** TEMPERATURE for s, n in counts.items()} if weights is None else weights
-    runs = schedule({s: ceil(n / block) for s, n in counts.items()}, target)
-    table = docs.sparkSession.createDataFrame([(r.source, r.first, r.last, r.base, r.period, list(r.pattern)) for r in runs], "__source string, first long, last long, base long, period long, pattern array<int>")
+    block = block_size(counts, block)
+    table = slot_table(docs, schedule({s: ceil(n / block) for s, n in counts.items()}, target))
     buckets = max(1, ceil(sum(counts.values()) / BUCKET_ROWS))
     dealt = keyed.withColumn("__bucket", F.pmod(F.col("__order"), F.lit(buckets)).cast("int"))
     sizes = docs.select(named.alias("__source"), F.pmod(order, F.lit(buckets)).cast("int").alias("__bucket")).groupBy("__source", "__bucket").count()
@@ -123,11 +113,8 @@ def _placed(docs: DataFrame, kept: list[Column], weights: dict[str, float] | Non
     inside = Window.partitionBy("__source", "__bucket").orderBy("__order", "__doc")
     ranked = dealt.withColumn("__rank", F.row_number().over(inside)).join(starts, ["__source", "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("__start") + F.col("__rank") - 1).withColumn("__block", F.floor(F.col("__rank") / F.lit(block)))
-    found = ranked.join(F.broadcast(table), "__source").where((F.col("__block") >= F.col("first")) & (F.col("__block") < F.col("last")))
-    j = F.col("__block") - F.col("first")
-    size = F.size("pattern")
-    slot = F.col("base") + F.floor(j / size) * F.col("period") + F.element_at("pattern", (j % size).cast("int") + 1)
-    return found.withColumn("slot", slot).withColumn("position", F.col("slot") * F.lit(block) + F.col("__rank") % F.lit(block))
+    found = ranked.join(F.broadcast(table), ["__source", "__block"])  # MAX_SLOTS rows and one a source at most
+    return found.withColumn("position", F.col("slot") * F.lit(block) + F.col("__rank") % F.lit(block))
 
 
 def place(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:

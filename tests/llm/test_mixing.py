@@ -1,4 +1,6 @@
+import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -9,30 +11,41 @@ from tessera.llm import mixing
 WEIGHTS = st.dictionaries(st.sampled_from("abcdefg"), st.integers(1, 60), min_size=1)
 
 
-@settings(max_examples=150, deadline=None)
-@given(WEIGHTS)
-def test_a_period_deviates_by_less_than_one_block(weights):
-    quota = mixing.quotas({s: float(w) for s, w in weights.items()}, 128)
-    assert sum(quota.values()) == 128 and min(quota.values()) >= 1
-    slots = mixing.one_period(quota, 128)
-    had = Counter()
+@settings(max_examples=200, deadline=None)
+@given(WEIGHTS, st.booleans())
+def test_any_prefix_deviates_by_less_than_one_block_from_the_target(weights, odd):
+    weights = {s: w**0.37 if odd else float(w) for s, w in weights.items()}
+    total, had = sum(map(Fraction, weights.values())), Counter()
+    slots = mixing.one_phase(weights, {s: 400 for s in weights})
     for t, s in enumerate(slots, 1):
         had[s] += 1
-        assert all(abs(had[x] - q / 128 * t) < 1 for x, q in quota.items())
-    assert had == quota
+        assert all(abs(had[x] - Fraction(w) / total * t) < 1 for x, w in weights.items())
+    assert had[slots[-1]] == 400 == max(had.values())
 
 
-def slow(blocks, weights, period):
-    """Slot by slot, without closed forms."""
+def test_small_targets_and_many_periods():
+    weights = {f"s{i}": 1.0 for i in range(20)} | {"rare": 0.0001, "odd": 0.3333}
+    slots = mixing.one_phase(weights, dict.fromkeys(weights, 4000))
+    total, had = sum(weights.values()), Counter()
+    for t, s in enumerate(slots, 1):
+        had[s] += 1
+        if t % 97 == 0:
+            assert all(abs(had[x] - w / total * t) < 1 for x, w in weights.items())
+    assert len(slots) > 75_000 and had["rare"] <= 1
+
+
+def slow(blocks, weights):
+    """Slot by slot: of the blocks whose release has come the one with the earliest deadline."""
     left, out = dict(blocks), []
-    period = max(period, 1 << (4 * len(left)).bit_length())
     while any(left.values()):
-        active = {s: weights.get(s, 0) for s in left if left[s] and weights.get(s, 0) > 0} or {s: 1.0 for s in left if left[s]}
-        quota = mixing.quotas(active, period)
-        pattern, t = mixing.one_period(quota, period), 0
-        while left[pattern[t % period]]:
-            left[pattern[t % period]] -= 1
-            out.append(pattern[t % period])
+        active = {s: Fraction(weights.get(s, 0)) for s in left if left[s] and weights.get(s, 0) > 0} or {s: Fraction(1) for s in left if left[s]}
+        total, done, t = sum(active.values()), Counter(), 0
+        while all(left[s] for s in active):
+            released = [s for s in active if math.floor(done[s] * total / active[s]) <= t]
+            s = min(released, key=lambda s: (math.ceil((done[s] + 1) * total / active[s]), -active[s], s))
+            left[s] -= 1
+            done[s] += 1
+            out.append(s)
             t += 1
     return out
 
@@ -40,13 +53,15 @@ def slow(blocks, weights, period):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdefg"), st.integers(1, 300), min_size=1), WEIGHTS)
 def test_schedule_places_every_block_once(blocks, weights):
-    runs = mixing.schedule(blocks, {s: float(w) for s, w in weights.items()}, 16)
-    slots = {}
-    for r in runs:
-        for j in range(r.last - r.first):
-            slots[r.base + j // len(r.pattern) * r.period + r.pattern[j % len(r.pattern)]] = r.source
-    assert [slots[i] for i in range(len(slots))] == slow(blocks, weights, 16)
-    assert Counter(slots.values()) == blocks
+    slots = mixing.schedule(blocks, {s: float(w) for s, w in weights.items()})
+    assert slots == slow(blocks, weights) and Counter(slots) == blocks
+
+
+def test_blocks_grow_with_the_corpus():
+    assert mixing.block_size({"a": 1000, "b": 1}) == mixing.BLOCK
+    many = {"a": 10**10, "b": 7}
+    size = mixing.block_size(many)
+    assert sum(math.ceil(n / size) for n in many.values()) <= mixing.MAX_SLOTS + len(many) and 1.01 * size * mixing.MAX_SLOTS > 10**10
 
 
 @pytest.mark.parametrize("weights", [None, {"x": 3.0, "y": 1.0}])
