@@ -57,10 +57,17 @@ def evaluate_one(content: bytes, expr: str, ns_mode: str = "smart", cap: int | N
         prefixes = prefixes | {prefix: default}
         if tried != expr:
             out |= {"default_namespace": default, "effective_expr": tried}
-    try:
-        value = Evaluator(tree, prefixes)(xp.parse(tried), tree.root)
-    except (xp.XPathError, RecursionError) as e:
-        return out | {"kind": "error", "value": None, "error": str(e)}
+    evaluator, failures = Evaluator(tree, prefixes), []
+    for attempt in dict.fromkeys((tried, expr)):  # as it was written, if the bound form cannot be evaluated
+        try:
+            value = evaluator(xp.parse(attempt), tree.root)
+            break
+        except (xp.XPathError, RecursionError) as e:
+            failures.append(str(e))
+    else:
+        return out | {"kind": "error", "value": None, "error": failures[0]}
+    if failures:
+        out |= {"default_namespace": None, "effective_expr": None}
     empty = False
     if isinstance(value, list):
         value.sort(key=lambda n: n.order)
@@ -171,7 +178,7 @@ def name_test(name: str, ns_mode: str, column: Column | None = None) -> Column:
         return F.lit(True)
     if ns_mode != "smart":
         return c == name
-    return (c == name) | (F.substring_index(c, ":", -1) == _local(name))
+    return (c == name) | (F.substr(c, F.instr(c, ":") + 1) == _local(name))  # after the first colon, as _local has it
 
 
 def _stepwise(elements: DataFrame, subset: Subset, ns_mode: str) -> DataFrame:
