@@ -122,6 +122,10 @@ def errors_by_line(diagnostics: DataFrame) -> DataFrame:
 
 
 def heap_bytes(stats: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Approximate size of each packed index."""
+    """Approximate size of each packed index; with ``names`` (doc_id, name of any rows) the dictionary of names counts too."""
     blocks = F.floor((F.col("lines") - 1) / 32) + 1
-    return stats.select("doc_id", (F.col("indexed") * 34 + blocks * 8).alias("heap_bytes"))
+    packed = stats.select("doc_id", (F.col("indexed") * 34 + blocks * 8).alias("heap_bytes"))
+    if names is None:
+        return packed
+    held = names.select("doc_id", "name").distinct().groupBy("doc_id").agg(F.sum(F.octet_length("name") + 24).alias("__names"))
+    return packed.join(held, "doc_id", "left").select("doc_id", (F.col("heap_bytes") + F.coalesce("__names", F.lit(0))).alias("heap_bytes"))

@@ -6,17 +6,20 @@ A document is a row, so documents scan in parallel; one pass produces every view
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import replace
+from itertools import accumulate, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import decode_entities
 from tessera.operators.scanner import Index, ScanConfig, Scanner, scan_bytes
 from tessera.operators.vector_scan import MIN_BYTES, vector_scan, vector_totals
 
+_PAIR = pa.struct([("name", pa.string()), ("value", pa.string())])
+_PAIRS = "array<struct<name:string,value:string>>"
 FIELDS = (
     ("doc_id", "long", pa.int64()),
     ("kind", "string", pa.string()),
@@ -34,6 +37,8 @@ FIELDS = (
     ("path_names", "string", pa.string()),
     ("fix", "string", pa.string()),
     ("counts", "array<long>", pa.list_(pa.int64())),
+    ("attrs", _PAIRS, pa.list_(_PAIR)),
+    ("kids", _PAIRS, pa.list_(_PAIR)),
 )
 SCHEMA = ", ".join(f"`{n}` {t}" for n, t, _ in FIELDS)
 COUNTS = ("bytes", "lines", "elements", "indexed", "attributes", "max_depth", "errors")
@@ -71,19 +76,56 @@ def leaf_texts(index: Index, content: bytes) -> list[str | None]:
     return [None if p is None else "".join(p).strip() for p in parts]
 
 
-#: The groups of kinds a scan can be asked for, with the columns each fills.
+_SHAPE = ("doc_id", "elem_id", "parent", "depth", "start", "end", "line", "name", "ord", "path", "path_names")
+#: The groups of kinds a scan can be asked for, with the columns each fills. Element rows come in four widths: bare,
+#: with leaf text, with their attributes too, and with what a table shows of their children.
 GROUPS: dict[str, tuple[str, ...]] = {
-    "elem": ("doc_id", "elem_id", "parent", "depth", "start", "end", "line", "name", "value", "ord", "path", "path_names"),
+    "shape": _SHAPE,
+    "elem": (*_SHAPE, "value"),
+    "tagged": (*_SHAPE, "value", "attrs"),
+    "record": (*_SHAPE, "value", "attrs", "kids"),
     "attr": ("doc_id", "elem_id", "depth", "start", "end", "name", "value", "ord"),
     "content": ("doc_id", "kind", "parent", "start", "end", "name", "value", "ord"),
     "diag": ("doc_id", "start", "line", "col", "name", "value", "ord", "path", "fix"),
     "mark": ("doc_id", "start", "ord"),
     "stat": ("doc_id", "counts"),
 }
-ALL = frozenset(GROUPS)
+ELEMENTS = ("shape", "elem", "tagged", "record")
+_KINDS = {g: ("elem",) if g in ELEMENTS else (g,) for g in GROUPS} | {"content": ("text", "cdata", "comment", "pi")}
+ALL = frozenset(GROUPS).difference(ELEMENTS[:-1])
 _TYPES = {n: t for n, _, t in FIELDS}
 
 
+class Pairs:
+    """A column of lists of (name, value), kept flat."""
+
+    def __init__(self) -> None:
+        self.ends, self.names, self.values = [0], [], []
+
+    def add(self, sizes: list[int], names: Iterable[str], values: Iterable[str]) -> None:
+        self.ends += islice(accumulate(sizes, initial=self.ends[-1]), 1, None)
+        self.names += names
+        self.values += values
+
+    def array(self) -> pa.Array:
+        pairs = pa.StructArray.from_arrays([pa.array(self.names, pa.string()), pa.array(self.values, pa.string())], fields=list(_PAIR))
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pairs, pa.list_(_PAIR))
+
+
+def shown_children(index: Index, texts: list[str | None], sizes: list[int], names: list[str], values: list[str]) -> tuple[list[list[int]], list[str]]:
+    """Children of every element, and what a cell shows of each: its text, else its attributes, else how many children it has."""
+    kids: list[list[int]] = [[] for _ in texts]
+    for i, parent in enumerate(index.parent):
+        if parent >= 0:
+            kids[parent].append(i)
+    shown, at = [], 0
+    for text, size, below in zip(texts, sizes, kids):
+        own = " ".join(f"{names[k]}={values[k]}" for k in range(at, at + size)) if size and not text else ""
+        at += size
+        shown.append(text or own or (f"({len(below)} children)" if below else ""))
+    return kids, shown
+
+
 class NodeColumns:
     """Node rows of many documents, gathered as columns by group of kinds."""
 
@@ -92,7 +134,7 @@ class NodeColumns:
         self.clear()
 
     def clear(self) -> None:
-        self.columns = {g: {c: [] for c in GROUPS[g]} for g in self.groups}
+        self.columns = {g: {c: Pairs() if c in ("attrs", "kids") else [] for c in GROUPS[g]} for g in self.groups}
         self.rows = 0
 
     def _add(self, group: str, doc_id: int | None, n: int, **columns) -> None:
@@ -105,17 +147,34 @@ class NodeColumns:
     def add(self, doc_id: int | None, content: bytes, index: Index) -> None:
         text = lambda a, b: content[a:b].decode("utf-8", "replace")
         groups, n = self.groups, len(index.start)
-        if "elem" in groups:
-            names = [x.decode("utf-8", "replace") for x in index.names]
+        names = [x.decode("utf-8", "replace") for x in index.names]
+        attribute_names, attribute_values, sizes = [], [], [0] * n
+        if groups & {"attr", "tagged", "record"}:
+            attribute_names = [x.decode("utf-8", "replace") for _, x, _, _ in index.attributes]
+            attribute_values = [decode_entities(text(i, j)) for _, _, i, j in index.attributes]
+            for e, _, _, _ in index.attributes:
+                sizes[e] += 1
+        for group in groups.intersection(ELEMENTS):
             full, plain, place = paths(index)
-            self._add("elem", doc_id, n, elem_id=range(n), parent=index.parent, depth=index.depth, start=index.start, end=[e if e >= 0 else None for e in index.end], line=index.line, name=[names[k] for k in index.name], value=leaf_texts(index, content), ord=place, path=full, path_names=plain)
+            called = [names[k] for k in index.name]
+            self._add(group, doc_id, n, elem_id=range(n), parent=index.parent, depth=index.depth, start=index.start, end=[e if e >= 0 else None for e in index.end], line=index.line, name=called, ord=place, path=full, path_names=plain)
+            own = self.columns[group]
+            if "value" in own:
+                texts = leaf_texts(index, content)
+                own["value"] += texts
+            if "attrs" in own:
+                own["attrs"].add(sizes, attribute_names, attribute_values)
+            if "kids" in own:
+                kids, shown = shown_children(index, texts, sizes, attribute_names, attribute_values)
+                flat = [k for below in kids for k in below]
+                own["kids"].add([len(below) for below in kids], [called[k] for k in flat], [shown[k] for k in flat])
         if "attr" in groups and index.attributes:
-            element, name, start, end = zip(*index.attributes)
+            element, _, start, end = zip(*index.attributes)
             number, last, numbers = 0, -1, []
             for e in element:
                 number, last = (number + 1 if e == last else 1), e
                 numbers.append(number)
-            self._add("attr", doc_id, len(element), elem_id=element, depth=[index.depth[e] for e in element], start=start, end=end, name=[x.decode("utf-8", "replace") for x in name], value=[decode_entities(text(i, j)) for i, j in zip(start, end)], ord=numbers)
+            self._add("attr", doc_id, len(element), elem_id=element, depth=[index.depth[e] for e in element], start=start, end=end, name=attribute_names, value=attribute_values, ord=numbers)
         if "content" in groups and index.contents:
             parent, kind, start, end = zip(*index.contents)
             raw = [text(i, j) for i, j in zip(start, end)]
@@ -133,8 +192,8 @@ class NodeColumns:
         for group, own in self.columns.items():
             n = len(own["doc_id"])
             if n:
-                made = {c: pa.array(values, _TYPES[c]) for c, values in own.items()}
-                made.setdefault("kind", pa.repeat(group, n))
+                made = {c: values.array() if isinstance(values, Pairs) else pa.array(values, _TYPES[c]) for c, values in own.items()}
+                made.setdefault("kind", pa.repeat(_KINDS[group][0], n))
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else pa.nulls(n, t) for c, _, t in FIELDS], [c for c, _, _ in FIELDS])
         self.clear()
 
@@ -166,14 +225,36 @@ class Scan:
         """The ids of all documents, without a scan."""
         return self._documents.select("doc_id")
 
-    def _view(self, group: str) -> DataFrame:
+    def _view(self, *groups: str) -> DataFrame:
         if self._all is None:
-            return _nodes(self._documents, self._config, self._complete, frozenset((group,)))
-        return self._all.where(F.col("kind").isin("text", "cdata", "comment", "pi") if group == "content" else F.col("kind") == group)
+            return _nodes(self._documents, self._config, self._complete, frozenset(groups))
+        return self._all.where(F.col("kind").isin([k for g in groups for k in _KINDS[g]]))
+
+    @staticmethod
+    def _elements(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("doc_id", "elem_id", "parent", "depth", "name", "start", "end", "line", F.col("ord").alias("sib_pos"), "path", "path_names", F.col("value").alias("text"), *more)
 
     @property
     def elements(self) -> DataFrame:
-        return self._view("elem").select("doc_id", "elem_id", "parent", "depth", "name", "start", "end", "line", F.col("ord").alias("sib_pos"), "path", "path_names", F.col("value").alias("text"))
+        return self._elements(self._view("elem"))
+
+    @property
+    def tagged(self) -> DataFrame:
+        """``elements`` with ``attrs``: their (name, value) in order, so that no join is needed for them."""
+        return self._elements(self._view("tagged"), "attrs")
+
+    @property
+    def records(self) -> DataFrame:
+        """``tagged`` with ``kids``: (name, value) of the children in order, the value being what a table cell shows."""
+        return self._elements(self._view("record"), "attrs", "kids")
+
+    def counts(self, match: Column) -> DataFrame:
+        """doc_id and the number of elements for which ``match`` (of name, depth, path, path_names) holds, 0 included.
+
+        One pass and one partial aggregation. Documents that share an id, or have none, are counted together.
+        """
+        hit = (F.col("kind") == "elem") & match
+        return self._view("shape", "stat").groupBy("doc_id").agg(F.sum(F.when(hit, 1).otherwise(0)).cast("long").alias("count"))
 
     @property
     def attributes(self) -> DataFrame:
@@ -223,7 +304,7 @@ def scan(documents: DataFrame, config: ScanConfig = ScanConfig(), prefix: int |
 
 
 def _nodes(narrow: DataFrame, config: ScanConfig, complete: bool, groups: frozenset[str]) -> DataFrame:
-    contents = config.contents and bool(groups & {"elem", "attr", "content"})
+    contents = config.contents and bool(groups & {"elem", "tagged", "record", "attr", "content"})
     config = replace(config, contents=contents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,22 +19,24 @@ def repeating(elements: DataFrame, of: DataFrame) -> DataFrame:
     return kids.where("__n >= 2 and name = __first").drop("__first", "__n")
 
 
-def cells(scan: Scan, rows: DataFrame, cap: int | None = FIELD_CAP) -> DataFrame:
-    """doc_id, elem_id, ord, key, value: @attributes, #text of a leaf, and children (text, or k=v of attributes, or (n children))."""
-    keys = rows.select("doc_id", "elem_id")
-    own = scan.attributes.join(keys, ["doc_id", "elem_id"], "left_semi").select("doc_id", "elem_id", F.col("attr_no").alias("ord"), F.concat(F.lit("@"), "name").alias("key"), "value")
-    text = rows.where("text is not null and text != ''").select("doc_id", "elem_id", F.lit(1_000_000).alias("ord"), F.lit("#text").alias("key"), F.col("text").alias("value"))
-    elements = scan.elements
-    kids = elements.join(keys.withColumnRenamed("elem_id", "parent"), ["doc_id", "parent"], "left_semi")
-    kids = kids.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "parent").orderBy("elem_id")))
-    if cap is not None:
-        kids = kids.where(F.col("__n") <= cap)
-    shown = scan.attributes.groupBy("doc_id", "elem_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("attr_no", "name", "value"))), lambda a: F.concat(a["name"], F.lit("="), a["value"])), " ").alias("__attrs"))
-    below = elements.where("parent >= 0").groupBy("doc_id", F.col("parent").alias("elem_id")).agg(F.count("*").alias("__below"))
-    kids = kids.join(shown, ["doc_id", "elem_id"], "left").join(below, ["doc_id", "elem_id"], "left")
-    value = F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).when(F.col("__attrs").isNotNull(), F.col("__attrs")).when(F.col("__below") > 0, F.format_string("(%d children)", "__below")).otherwise("")
-    kids = kids.select("doc_id", F.col("parent").alias("elem_id"), (F.col("__n") + 2_000_000).alias("ord"), F.col("name").alias("key"), value.alias("value"))
-    return own.unionByName(text).unionByName(kids)
+def _entries(scan: Scan, rows: DataFrame | Column, cap: int | None) -> DataFrame:
+    """doc_id, elem_id and the cells of each element as an array of (ord, key, value): read off its own row, no join."""
+    own = scan.records
+    own = own.where(rows) if isinstance(rows, Column) else own.join(rows.select("doc_id", "elem_id"), ["doc_id", "elem_id"], "left_semi")
+    cell = lambda at, key, value: F.struct(at.cast("int").alias("ord"), key.alias("key"), value.alias("value"))
+    attributes = F.transform("attrs", lambda a, i: cell(i + 1, F.concat(F.lit("@"), a["name"]), a["value"]))
+    text = F.array(cell(F.lit(1_000_000), F.lit("#text"), F.col("text")))
+    text = F.filter(text, lambda x: F.coalesce(x["value"], F.lit("")) != "")
+    kids = F.transform(F.col("kids") if cap is None else F.slice("kids", 1, cap), lambda k, i: cell(i + 2_000_001, k["name"], k["value"]))
+    return own.select("doc_id", "elem_id", F.concat(attributes, text, kids).alias("cells"))
+
+
+def cells(scan: Scan, rows: DataFrame | Column, cap: int | None = FIELD_CAP) -> DataFrame:
+    """doc_id, elem_id, ord, key, value: @attributes, #text of a leaf, and children (text, or k=v of attributes, or (n children)).
+
+    ``rows`` are elements, or a condition on the columns of ``Scan.elements`` (then one scan answers).
+    """
+    return _entries(scan, rows, cap).select("doc_id", "elem_id", F.inline("cells"))
 
 
 def records(cell_rows: DataFrame) -> DataFrame:
@@ -51,11 +53,12 @@ def columns(cell_rows: DataFrame) -> list[str]:
     return [r["key"] for r in seen]
 
 
-def table(scan: Scan, rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row an element: doc_id, elem_id, row_no and a string column for each key (null where absent)."""
-    cell_rows = cells(scan, rows)
-    keys = columns(cell_rows) if keys is None else keys
-    wide = cell_rows.groupBy("doc_id", "elem_id").pivot("key", keys).agg(F.max_by("value", "ord")) if keys else rows.select("doc_id", "elem_id")
+def table(scan: Scan, rows: DataFrame | Column, keys: list[str] | None = None) -> DataFrame:
+    """One row an element: doc_id, elem_id, row_no and a string column for each key (null where absent, the last if repeated)."""
+    keys = columns(cells(scan, rows)) if keys is None else keys
+    last_first = F.reverse("cells")
+    found = _entries(scan, rows, FIELD_CAP).select("doc_id", "elem_id", F.transform(last_first, lambda c: c["key"]).alias("__keys"), F.transform(last_first, lambda c: c["value"]).alias("__values"))
+    wide = found.select("doc_id", "elem_id", *(F.get("__values", (F.array_position("__keys", k) - 1).cast("int")).alias(k) for k in keys))
     return wide.withColumn("row_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("elem_id")))
 
 

@@ -212,26 +212,28 @@ def select(scan: Scan, expr: str, ns_mode: str = "smart", attribute_join: str =
     ``attribute_join="left"`` keeps elements that lack the attribute.
     """
     subset = parse_subset(expr)
-    elements = scan.elements
     pattern = pattern_of(subset, ns_mode)
     last = subset.steps[-1].name if subset.steps else None
     if not subset.steps:
         raise xp.XPathError(f"Unsupported expression: {expr!r}")
+    test = None
     if len(subset.steps) == 1 and subset.steps[0].anywhere and subset.steps[0].position is None:
-        found = elements.where(name_test(last, ns_mode))
+        test = name_test(last, ns_mode)
     elif pattern:
-        found = elements.where(name_test(last, ns_mode) & F.col("path").rlike(pattern))
-    else:
-        found = _stepwise(elements, subset, ns_mode)
+        test = name_test(last, ns_mode) & F.col("path").rlike(pattern)
+    if test is not None and subset.count and not subset.attribute:
+        return scan.counts(test)
+    elements = scan.tagged
+    found = elements.where(test) if test is not None else _stepwise(elements, subset, ns_mode)
     if subset.attribute:
-        own = scan.attributes.select("doc_id", "elem_id", "attr_no", F.col("name").alias("attribute"), "value")
-        if subset.attribute == "*":
-            own = own.where("attr_no = 1")
-        else:
-            own = own.where((F.col("attribute") == subset.attribute) | (F.substring_index("attribute", ":", -1) == subset.attribute))
-            first = Window.partitionBy("doc_id", "elem_id").orderBy((F.col("attribute") != subset.attribute).cast("int"), "attr_no")
-            own = own.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-        found = found.join(own.drop("attr_no"), ["doc_id", "elem_id"], attribute_join)
+        own = F.get("attrs", F.lit(0))
+        if subset.attribute != "*":
+            first = lambda test: F.get(F.filter("attrs", test), F.lit(0))
+            own = F.coalesce(first(lambda a: a["name"] == subset.attribute), first(lambda a: F.substring_index(a["name"], ":", -1) == subset.attribute))
+        found = found.withColumn("__own", own)
+        if attribute_join == "inner":
+            found = found.where(F.col("__own").isNotNull())
+        found = found.withColumns({"attribute": F.col("__own")["name"], "value": F.col("__own")["value"]})
     if subset.count:
         counted = found.groupBy("doc_id").agg(F.count("*").alias("n"))
         return scan.doc_ids.join(counted, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
@@ -240,9 +242,7 @@ def select(scan: Scan, expr: str, ns_mode: str = "smart", attribute_join: str =
         preview = F.when(F.col("attribute").isNull(), "(no such attribute)").otherwise(F.concat("attribute", F.lit('="'), "value", F.lit('"')))
         columns += ["attribute", "value"]
     else:
-        attributes = scan.attributes.groupBy("doc_id", "elem_id").agg(F.array_sort(F.collect_list(F.struct("attr_no", "name", "value"))).alias("__a"))
-        found = found.join(attributes, ["doc_id", "elem_id"], "left")
-        shown = F.array_join(F.transform(F.coalesce("__a", F.array().cast("array<struct<attr_no:int,name:string,value:string>>")), lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), a["value"], F.lit('"'))), "")
+        shown = F.array_join(F.transform("attrs", lambda a: F.concat(F.lit(" "), a["name"], F.lit('="'), a["value"], F.lit('"'))), "")
         preview = F.concat(F.lit("<"), F.col("name"), shown, F.lit(">"), F.left(F.coalesce("text", F.lit("")), F.lit(80)))
     out = found.select(*columns, preview.alias("preview"))
     return out.orderBy("doc_id", "elem_id").limit(limit) if limit is not None else out

@@ -179,7 +179,7 @@ def q16_attribute_types(spark, sf_dir):
 @query('WITH_LINES SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY ord) AS row_no, CAST(ord AS VARCHAR) AS "@n", CAST(part AS VARCHAR) AS "@part", q AS "Qty", p AS "Price" FROM l WHERE has')
 def q17_table_mode(spark, sf_dir):
     s = order_scan(spark, sf_dir)
-    wide = table.table(s, s.elements.where("name = 'Line'"), ["@n", "@part", "Qty", "Price"])
+    wide = table.table(s, F.col("name") == "Line", ["@n", "@part", "Qty", "Price"])
     return wide.select("doc_id", F.col("row_no").cast("long").alias("row_no"), "@n", "@part", "Qty", "Price")
 
 
@@ -187,7 +187,7 @@ def q17_table_mode(spark, sf_dir):
     SELECT k AS doc_id, p AS "Price", row_number() OVER (PARTITION BY k ORDER BY CAST(p AS DOUBLE), p, ord) AS rank FROM f""")
 def q18_filter_and_sort(spark, sf_dir):
     s = order_scan(spark, sf_dir)
-    wide = table.table(s, s.elements.where("name = 'Line'"), ["@n", "@part", "Qty", "Price"])
+    wide = table.table(s, F.col("name") == "Line", ["@n", "@part", "Qty", "Price"])
     return table.sort_rank(table.filter_rows(wide, "5"), "Price").select("doc_id", "Price", F.col("rank").cast("long").alias("rank"))
 
 
