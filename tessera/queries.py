@@ -347,3 +347,112 @@ def q40_generated_corpus(spark, sf_dir):
 @query("WITH_LINES SELECT count(*) AS documents, CAST(sum(2 + 3 * n) AS BIGINT) AS elements FROM d")
 def q41_xsd_source_counts(spark, sf_dir):
     return order_scan(spark, sf_dir).stats.agg(F.count("*").alias("documents"), F.sum("elements").alias("elements"))
+
+
+# one planted fault a document -------------------------------------------------------
+
+#: One document for each diagnostic: K stands for the order's key, ^ for the byte the fault is reported at. Beside it the
+#: codes of all its faults, the planted one first in the list of its own code, and the repair suggested for that one.
+FAULTS: dict[str, tuple[str, str, str | None]] = {
+    "D01": ("<o>K</o>^<p/>", "D01", "Wrap both elements in a single root element"),
+    "D02": ("<o>K ^&#q1;</o>", "D02", "Escape the ampersand as &amp;"),
+    "D03": ("<o>K ^]]> v</o>", "D03", "Escape as ]]&gt;"),
+    "D04": ("^K<o/>", "D04", "Remove the stray text or move it inside the root element"),
+    "D05": ("<o/>^K", "D05", "Remove the stray text or move it inside the root element"),
+    "D06": ("<o>K ^&abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz; v</o>", "D06", "Escape the ampersand as &amp;"),
+    "D07": ("<o>K ^& v</o>", "D07", "Replace '&' with '&amp;'"),
+    "D08": ("<o>K <^ v</o>", "D08", "Escape the '<' as &lt;"),
+    "D09": ("<o>K<p^!></p></o>", "D09", None),
+    "D10": ('<o k="K"^!></o>', "D10", "Quote attribute values and separate attributes with whitespace"),
+    "D11": ('<o k="K" ^k="8"/>', "D11", "Remove the duplicate attribute"),
+    "D12": ("<o aK^>v</o>", "D12", 'Insert =""'),
+    "D13": ('<o aK ^j="7"/>', "D13", 'Insert =""'),
+    "D14": ("<o k=^v>K</o>", "D14", "Enclose the value in double quotes"),
+    "D15": ('<o k="K ^< 8"/>', "D15", "Escape as &lt;"),
+    "D16": ('<o k="K"/^ ></o>', "D16", None),
+    "D17": ("<o>K</^ o>", "D17,D20,D27", None),
+    "D18": ("<o>K</o>^</p>", "D18", "Delete this end tag"),
+    "D19": ("<o><p>K^</q></o>", "D19", "Change to </p>"),
+    "D20": ("<o>K</o ^x>", "D20", None),
+    "D21": ("<o>K<!^x></o>", "D21", None),
+    "D22": ("<o>K<!-^x></o>", "D22", None),
+    "D23": ("<o>K<!-- u ^-- v --></o>", "D23", "Replace '--' with '- -'"),
+    "D24": ("<o>K<![C^x[v]></o>", "D24", None),
+    "D25": ("^<!--K-->", "D25", "Add a root element"),
+    "D26": ("<o>K<!-- v^", "D26,D27", None),
+    "D27": ("<o><p>K^", "D27", "Append </p></o>"),
+}
+_quoted = lambda s: "NULL" if s is None else "'" + s.replace("'", "''") + "'"
+_FAULTS_SQL = f"""f(no, code, body, codes, fix) AS (VALUES {", ".join(f"({i}, '{c}', {_quoted(t)}, '{all_}', {_quoted(fix)})" for i, (c, (t, all_, fix)) in enumerate(FAULTS.items()))}),
+    m AS (SELECT o_orderkey AS k, f.*, replace(body, 'K', CAST(o_orderkey AS VARCHAR)) AS t FROM orders JOIN f ON no = o_orderkey % {len(FAULTS)})"""
+
+
+def _by_key(key: Column, choices: list[str | None]) -> Column:
+    return F.get(F.array(*(F.lit(c).cast("string") for c in choices)), (key % len(choices)).cast("int"))
+
+
+def faulty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a document with one of the faults, by its key (doc_id, code, content)."""
+    key = F.col("o_orderkey")
+    body = F.replace(F.replace(_by_key(key, [t for t, _, _ in FAULTS.values()]), F.lit("^"), F.lit("")), F.lit("K"), key.cast("string"))
+    return read(spark, sf_dir, "orders").select(key.alias("doc_id"), _by_key(key, list(FAULTS)).alias("code"), body.cast("binary").alias("content"))
+
+
+@query(f'WITH {_FAULTS_SQL} SELECT k AS doc_id, code, codes, CAST(strpos(t, \'^\') - 1 AS BIGINT) AS "offset", CAST(1 AS BIGINT) AS line, CAST(strpos(t, \'^\') AS BIGINT) AS col, fix FROM m')
+def q42_all_diagnostics(spark, sf_dir):
+    planted = faulty_documents(spark, sf_dir)
+    found = scan(planted).diagnostics.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "code", "offset", "line", "col", "fix"))).alias("all"))
+    own = F.get(F.filter("all", lambda d: d["code"] == F.col("code")), F.lit(0))
+    joined = found.join(planted.select("doc_id", "code"), "doc_id")
+    return joined.select("doc_id", "code", F.array_join(F.col("all")["code"], ",").alias("codes"), *(own[c].alias(c) for c in ("offset", "line", "col", "fix")))
+
+
+#: What the repair of each fault makes of the document; the codes that are not here have no repair of their own.
+REPAIRED = {
+    "D02": "<o>K &amp;#q1;</o>", "D03": "<o>K ]]&gt; v</o>", "D06": "<o>K &amp;abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz; v</o>",
+    "D07": "<o>K &amp; v</o>", "D08": "<o>K &lt; v</o>", "D11": '<o k="K"/>', "D14": '<o k="v">K</o>', "D18": "<o>K</o>", "D19": "<o><p>K</p></o>",
+    "D23": "<o>K<!-- u - - v --></o>", "D27": "<o><p>K</p></o>",
+}
+
+
+@query(f"""WITH {_FAULTS_SQL}, r(code, body) AS (VALUES {", ".join(f"('{c}', {_quoted(t)})" for c, t in REPAIRED.items())})
+    SELECT k AS doc_id, m.code, replace(r.body, 'K', CAST(k AS VARCHAR)) AS repaired, CAST(1 AS BIGINT) AS repairs FROM m JOIN r ON r.code = m.code""")
+def q43_all_repairs(spark, sf_dir):
+    planted = faulty_documents(spark, sf_dir).where(F.col("code").isin(list(REPAIRED)))
+    fixed = edits.smart_fix(planted.select("doc_id", "content")).select("doc_id", F.col("content").cast("string").alias("repaired"), F.col("repairs").cast("long").alias("repairs"))
+    return planted.select("doc_id", "code").join(fixed, "doc_id")
+
+
+# whole texts and node rows ------------------------------------------------------------
+
+
+@query("""WITH_LINES, b AS (SELECT k, string_agg('    <Line n="' || ord || '" part="' || part || '">' || chr(10) || '      <Qty>' || q || '</Qty>' || chr(10) || '      <Price>' || p || '</Price>' || chr(10) || '    </Line>' || chr(10), '' ORDER BY ord) AS body FROM l WHERE has GROUP BY k)
+    SELECT d.k AS doc_id, '<Order key="' || d.k || '" status="' || s || '">' || chr(10) || '  <Lines>' || chr(10) || coalesce(body, '') || '  </Lines>' || chr(10) || '</Order>' || chr(10) AS text FROM d LEFT JOIN b ON b.k = d.k""")
+def q44_pretty_text(spark, sf_dir):
+    return order_documents(spark, sf_dir).select("doc_id", text.pretty(F.col("content")).alias("text"))
+
+
+@query("""WITH_LINES SELECT k AS doc_id, '/Order[1]/Lines[1]/Line[' || ord || ']' AS path, '<Line n="' || ord || '" part="' || part || '"><Qty>' || q || '</Qty><Price>' || p || '</Price></Line>' AS preview FROM l WHERE has AND CAST(q AS DOUBLE) > 25""")
+def q45_xpath_nodes(spark, sf_dir):
+    found = xpath_plan.evaluate(order_documents(spark, sf_dir), "/Order/Lines/Line[Qty > 25]", cap=None)
+    return found.select("doc_id", F.inline("nodes")).select("doc_id", "path", "preview")
+
+
+@query("""WITH_LINES
+    SELECT k AS doc_id, count(*) AS n, max_by('n=' || ord || ' part=' || part, ord) AS last FROM l WHERE has AND ord <= 50 GROUP BY k""")
+def q46_repeated_cells(spark, sf_dir):
+    """The cells of an element whose children repeat: as many as it has children, the last of a name in the record."""
+    cells = table.cells(order_scan(spark, sf_dir), F.col("name") == "Lines")
+    return cells.groupBy("doc_id").agg(F.count("*").alias("n"), F.max_by("value", "ord").alias("last"))
+
+
+@query("WITH_LINES SELECT k AS doc_id, (2 + 3 * n) * 34 + 8 + 24 * 2 + 10 + CASE WHEN n > 0 THEN 24 * 3 + 12 ELSE 0 END AS heap_bytes FROM d")
+def q47_index_size(spark, sf_dir):
+    s = order_scan(spark, sf_dir)
+    return navigate.heap_bytes(s.stats, s.elements)
+
+
+@query("WITH_LINES SELECT k AS doc_id, '@' || a AS attribute, v AS value, a || '=\"' || v || '\"' AS preview FROM (SELECT k, 'key' AS a, CAST(k AS VARCHAR) AS v FROM d)")
+def q48_first_attribute(spark, sf_dir):
+    found = xpath_plan.select(order_scan(spark, sf_dir), "/Order/@*", "strict")
+    return found.select("doc_id", F.concat(F.lit("@"), "attribute").alias("attribute"), "value", "preview")

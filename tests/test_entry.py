@@ -23,7 +23,7 @@ def test_entry(spark):
     assert got.columns == ["doc_id", "count"] and got.count() > 0
 
 
-@pytest.mark.parametrize("name", ["q01_count_lines", "q04_positional_step", "q09_lines", "q13_hits_by_line", "q15_occurrence_bounds", "q16_attribute_types", "q20_lexical_types", "q21_line_edits", "q23_raw_ampersands", "q24_injected_faults", "q28_xpath_predicates", "q33_smart_fix", "q36_sizes", "q37_first_hit_as_of"])
+@pytest.mark.parametrize("name", ["q01_count_lines", "q04_positional_step", "q09_lines", "q13_hits_by_line", "q15_occurrence_bounds", "q16_attribute_types", "q20_lexical_types", "q21_line_edits", "q23_raw_ampersands", "q24_injected_faults", "q28_xpath_predicates", "q33_smart_fix", "q36_sizes", "q37_first_hit_as_of", "q17_table_mode", "q42_all_diagnostics", "q43_all_repairs", "q44_pretty_text", "q45_xpath_nodes", "q46_repeated_cells", "q47_index_size", "q48_first_attribute"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
