@@ -238,6 +238,35 @@ def test_table(book):
     assert record["reading"] == "at=2025-03-02T12:00:00Z" and record["@day"] == "2025-03-02"
 
 
+def test_element_rows_of_every_width(spark):
+    """Null ids, empty and faulty documents, repeated attributes and children; the same rows persisted or not."""
+    contents = [(1, "<a x='1' y='2'><b z='3'/><b>t</b><c><d/></c><e/></a>"), (2, ""), (None, "<a>u</a>"), (3, "<a k='1' k='2'"), (4, None), (4, "<a/>")]
+    s = scan(spark.createDataFrame([(i, None if c is None else c.encode()) for i, c in contents], "doc_id long, content binary"))
+    first = s.records.where("doc_id = 1 and depth = 0").first()
+    assert [tuple(a) for a in first.attrs] == [("x", "1"), ("y", "2")]
+    assert [tuple(k) for k in first.kids] == [("b", "z=3"), ("b", "t"), ("c", "(1 children)"), ("e", "")]
+    wide = table.table(s, F.col("name") == "a", ["@x", "b", "#text", "none"])
+    got = sorted((str(r.doc_id), str(r["@x"]), str(r.b), str(r["#text"]), str(r.none)) for r in wide.collect())
+    assert got == [("1", "1", "t", "None", "None"), ("3", "None", "None", "None", "None"), ("4", "None", "None", "None", "None"), ("None", "None", "None", "u", "None")]
+    counted = lambda: sorted((str(r.doc_id), r["count"]) for r in s.counts(F.col("name") == "b").collect())
+    bare, rows_of = counted(), lambda df: sorted(map(str, df.collect()))
+    assert bare == [("1", 2), ("2", 0), ("3", 0), ("4", 0), ("None", 0)]
+    views = [rows_of(s.elements), rows_of(s.tagged), rows_of(s.records), rows_of(s.attributes)]
+    s.persist()
+    assert counted() == bare and views == [rows_of(s.elements), rows_of(s.tagged), rows_of(s.records), rows_of(s.attributes)]
+    s.unpersist()
+    assert table.table(s, F.col("name") == "absent", ["@x"]).count() == 0
+
+
+def test_plans_scan_once(spark):
+    s = scan(spark.createDataFrame([(1, b"<a><b k='1'/></a>")], "doc_id long, content binary"))
+    from tessera.plans import xpath_plan
+
+    for df in (table.table(s, F.col("name") == "b", ["@k"]), xpath_plan.select(s, "//b/@k"), xpath_plan.select(s, "//b"), xpath_plan.select(s, "count(//b)")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 # text
 
 
