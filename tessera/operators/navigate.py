@@ -48,7 +48,8 @@ def descendants(elements: DataFrame, of: DataFrame) -> DataFrame:
     """Pairs (doc_id, ancestor_id, ancestor_name, descendant columns): an interval join within each document."""
     up = of.select(F.col("doc_id").alias("__doc"), F.col("elem_id").alias("ancestor_id"), F.col("name").alias("ancestor_name"), F.coalesce("end", F.lit((1 << 63) - 1)).alias("__end"))
     inside = (F.col("doc_id") == F.col("__doc")) & (F.col("elem_id") > F.col("ancestor_id")) & (F.col("start") < F.col("__end"))
-    return elements.join(up, inside).drop("__doc", "__end")
+    # neither side is ever small for certain: a table of all elements must not be gathered on the driver for a broadcast
+    return elements.join(up.hint("merge"), inside).drop("__doc", "__end")
 
 
 def ancestors(elements: DataFrame, of: DataFrame) -> DataFrame:

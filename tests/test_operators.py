@@ -175,6 +175,32 @@ def test_navigation(spark, book):
 # search
 
 
+def joins(df):
+    """The joins of the plan that ran, where Spark may broadcast whatever it likes."""
+    spark, key = df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1g")
+    try:
+        df.collect()
+        ran = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    finally:
+        spark.conf.set(key, before)
+    return [word for word in ("BroadcastHashJoin", "BroadcastNestedLoopJoin", "ShuffledHashJoin", "SortMergeJoin") if word in ran]
+
+
+@pytest.fixture
+def unkept(spark):
+    """A scan that is not persisted, of documents with two ids."""
+    return scan(spark.createDataFrame([(1, LOGBOOK.encode()), (2, b"<a><b/><c><b/></c></a>")], "doc_id long, content binary"))
+
+
+def test_descendants_broadcast_no_table_of_elements(unkept):
+    e = unkept.elements
+    pairs = navigate.descendants(e, e)
+    assert joins(pairs) == ["SortMergeJoin"]
+    assert sorted((r.ancestor_id, r.elem_id) for r in pairs.where("doc_id = 2").collect()) == [(0, 1), (0, 2), (0, 3), (2, 3)]
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, b"<a>needle</a>\n<b>x needle y</b>\nneedle\n"), (2, b"aaaa NeEdLe"), (3, None)], "doc_id long, content binary")
     assert rows(search.search(df, "needle"), "doc_id", "line", "col") == [(1, 1, 4), (1, 2, 6), (1, 3, 1)]
