@@ -34,8 +34,11 @@ def with_children(elements: DataFrame) -> DataFrame:
 
 
 def leaves(elements: DataFrame) -> DataFrame:
-    """Elements without child elements (anti-join)."""
-    return elements.join(elements.select("doc_id", F.col("parent").alias("elem_id")), ["doc_id", "elem_id"], "left_anti")
+    """Elements without child elements: every element meets its children under its own key, in one pass and without a join."""
+    keys = F.array(F.struct(F.col("elem_id").alias("id"), F.lit(0).alias("up")), F.struct(F.col("parent").alias("id"), F.lit(1).alias("up")))
+    dealt = elements.withColumn("__key", F.explode(keys)).where("__key.id >= 0").withColumns({"__id": F.col("__key.id"), "__up": F.col("__key.up")})
+    below = F.max("__up").over(Window.partitionBy("doc_id", "__id"))
+    return dealt.withColumn("__below", below).where("__up = 0 and __below = 0").select(*elements.columns)
 
 
 def has_children(elements: DataFrame) -> DataFrame:

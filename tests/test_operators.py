@@ -201,6 +201,14 @@ def test_descendants_broadcast_no_table_of_elements(unkept):
     assert sorted((r.ancestor_id, r.elem_id) for r in pairs.where("doc_id = 2").collect()) == [(0, 1), (0, 2), (0, 3), (2, 3)]
 
 
+def test_leaves_need_no_join(unkept):
+    found = navigate.leaves(unkept.elements)
+    assert joins(found) == [] and found.columns == unkept.elements.columns
+    assert sorted(rows(found.where("doc_id = 2"), "elem_id", "name")) == [(1, "b"), (3, "b")]
+    inner = rows(navigate.with_children(unkept.elements), "doc_id", "elem_id")
+    assert sorted(inner + rows(found, "doc_id", "elem_id")) == sorted(rows(unkept.elements, "doc_id", "elem_id"))
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, b"<a>needle</a>\n<b>x needle y</b>\nneedle\n"), (2, b"aaaa NeEdLe"), (3, None)], "doc_id long, content binary")
     assert rows(search.search(df, "needle"), "doc_id", "line", "col") == [(1, 1, 4), (1, 2, 6), (1, 3, 1)]
