@@ -23,19 +23,21 @@ class Schema:
 
     def __init__(self, scan: Scan, sampled: bool = False):
         self.sampled = sampled
-        rows = scan.elements.select("doc_id", "elem_id", "parent", "name", "text")
-        if sampled:
-            rows = rows.where(F.col("elem_id") < SAMPLE_ELEMENTS)
-        parents = rows.select("doc_id", F.col("elem_id").alias("parent"), F.col("name").alias("parent_name"))
-        self.rows = rows.join(parents, ["doc_id", "parent"], "left")
+        # an element's path holds its parent's name, so no join with the parents is needed
+        parent_name = F.when(F.col("parent") >= 0, F.element_at(F.split("path_names", "/"), -2))
+        rows = scan.elements.select("doc_id", "elem_id", "parent", "name", "text", parent_name.alias("parent_name"))
+        self.rows = rows.where(F.col("elem_id") < SAMPLE_ELEMENTS) if sampled else rows
         self.attributes = scan.attributes
 
     def elements(self) -> DataFrame:
         """name, count, has_text, text_type, parents (sorted)."""
-        counted = self.rows.groupBy("name").agg(F.count("*").alias("count"), F.array_sort(F.collect_set("parent_name")).alias("parents"))
-        typed = _first(self.rows, ["name"], SAMPLE_INSTANCES) if self.sampled else self.rows
-        typed = typed.where("text is not null and text != ''").groupBy("name").agg(merge_types_column(F.collect_set(guess_type_column(F.col("text")))).alias("text_type"))
-        out = counted.join(typed, "name", "left")
+        kind = F.when(F.col("text") != "", guess_type_column(F.col("text")))
+        counted = [F.count("*").alias("count"), F.array_sort(F.collect_set("parent_name")).alias("parents")]
+        typed = merge_types_column(F.collect_set(kind)).alias("text_type")
+        if self.sampled:
+            out = self.rows.groupBy("name").agg(*counted).join(_first(self.rows, ["name"], SAMPLE_INSTANCES).groupBy("name").agg(typed), "name", "left")
+        else:
+            out = self.rows.groupBy("name").agg(*counted, typed)
         return out.select("name", "count", F.col("text_type").isNotNull().alias("has_text"), F.coalesce("text_type", F.lit("xs:string")).alias("text_type"), "parents")
 
     def children(self) -> DataFrame:

@@ -258,6 +258,14 @@ def test_schema(book):
     assert {tuple(r) for r in sampled.attribute_types().collect()} == {tuple(r) for r in s.attribute_types().collect()}
 
 
+def test_element_inventory_needs_no_join(unkept):
+    found = schema.Schema(unkept).elements()
+    assert joins(found) == []
+    want = {"logbook": [], "a": [], "b": ["a", "c"], "c": ["a"]}
+    assert {r.name: r.parents for r in found.collect() if r.name in want} == want
+    assert {r.name: r["count"] for r in found.collect() if r.name in want} == {"logbook": 1, "a": 1, "b": 2, "c": 1}
+
+
 def test_table(book):
     e = book.elements
     readings = table.repeating(e, e.where("path = '/logbook[1]/watch[1]'"))
