@@ -42,18 +42,24 @@ class Schema:
 
     def children(self) -> DataFrame:
         """parent, child, ord (first seen), min and max occurrences over the parent's instances, absent ones included."""
-        rows = self.rows
+        seen = ["parent_name", "name"]
         if self.sampled:
-            instances = _first(rows.select("doc_id", "elem_id", "name"), ["name"], SAMPLE_PARENTS)
-            rows = rows.join(instances.select("doc_id", F.col("elem_id").alias("parent")), ["doc_id", "parent"], "left_semi")
+            instances = _first(self.rows.select("doc_id", "elem_id", "name"), ["name"], SAMPLE_PARENTS)
+            rows = self.rows.join(instances.select("doc_id", F.col("elem_id").alias("parent")), ["doc_id", "parent"], "left_semi")
+            size = instances.groupBy(F.col("name").alias("parent_name")).agg(F.count("*").alias("instances"))
         else:
-            instances = rows
-        size = instances.groupBy(F.col("name").alias("parent_name")).agg(F.count("*").alias("instances"))
-        each = rows.where("parent_name is not null").groupBy("parent_name", "name", "doc_id", "parent").agg(F.count("*").alias("n"), F.min("elem_id").alias("first"))
-        pair = each.groupBy("parent_name", "name").agg(F.count("*").alias("with"), F.min("n").alias("least"), F.max("n").alias("max"), F.min(F.struct("doc_id", "first")).alias("seen"))
+            rows = self.rows
+        each = rows.groupBy(*seen, "doc_id", "parent").agg(F.count("*").alias("n"), F.min("elem_id").alias("first"))
+        pair = each.groupBy(*seen).agg(F.count("*").alias("with"), F.min("n").alias("least"), F.max("n").alias("max"), F.min(F.struct("doc_id", "first")).alias("seen"), F.sum("n").alias("__n"))
+        if self.sampled:
+            out = pair.join(size, "parent_name")
+        else:
+            # a pair counts among its parent's children and as instances of its own name: both meet under that name
+            roles = F.array(F.struct(F.col("parent_name").alias("of"), F.lit(0).alias("own")), F.struct(F.col("name").alias("of"), F.col("__n").alias("own")))
+            met = pair.withColumn("__role", F.explode(roles)).withColumns({"__of": F.col("__role.of"), "__own": F.col("__role.own")})
+            out = met.withColumn("instances", F.sum("__own").over(Window.partitionBy("__of"))).where("__own = 0 and parent_name is not null")
         order = F.row_number().over(Window.partitionBy("parent_name").orderBy("seen", "name"))
-        out = pair.join(size, "parent_name").withColumn("ord", order)
-        return out.select(F.col("parent_name").alias("parent"), F.col("name").alias("child"), F.col("ord").cast("long").alias("ord"), F.when(F.col("with") < F.col("instances"), 0).otherwise(F.col("least")).cast("long").alias("min"), F.col("max").cast("long").alias("max"))
+        return out.withColumn("ord", order).select(F.col("parent_name").alias("parent"), F.col("name").alias("child"), F.col("ord").cast("long").alias("ord"), F.when(F.col("with") < F.col("instances"), 0).otherwise(F.col("least")).cast("long").alias("min"), F.col("max").cast("long").alias("max"))
 
     def attribute_types(self) -> DataFrame:
         """element, attr, count, type, required, ord (first seen)."""

@@ -258,6 +258,17 @@ def test_schema(book):
     assert {tuple(r) for r in sampled.attribute_types().collect()} == {tuple(r) for r in s.attribute_types().collect()}
 
 
+def test_child_bounds_need_no_join(spark, unkept):
+    found = schema.Schema(unkept).children()
+    assert joins(found) == []
+    bounds = {(r.parent, r.child): (r.ord, r["min"], r["max"]) for r in found.collect()}
+    assert {k: v for k, v in bounds.items() if k[0] in "abc"} == {("a", "b"): (1, 1, 1), ("a", "c"): (2, 1, 1), ("c", "b"): (1, 1, 1)}
+    # an element inside its own kind; parents without the child
+    nested = scan(spark.createDataFrame([(1, b"<a><a><a/><b/><b/></a></a>"), (2, b"<a/>")], "doc_id long, content binary"))
+    found = {(r.parent, r.child): (r.ord, r["min"], r["max"]) for r in schema.Schema(nested).children().collect()}
+    assert found == {("a", "a"): (1, 0, 1), ("a", "b"): (2, 0, 2)}
+
+
 def test_element_inventory_needs_no_join(unkept):
     found = schema.Schema(unkept).elements()
     assert joins(found) == []
