@@ -22,12 +22,11 @@ class Schema:
     """``sampled`` looks only at the first elements and instances, as an interactive tool would; the default is exact."""
 
     def __init__(self, scan: Scan, sampled: bool = False):
-        self.sampled = sampled
+        self.sampled, self.scan = sampled, scan
         # an element's path holds its parent's name, so no join with the parents is needed
         parent_name = F.when(F.col("parent") >= 0, F.element_at(F.split("path_names", "/"), -2))
         rows = scan.elements.select("doc_id", "elem_id", "parent", "name", "text", parent_name.alias("parent_name"))
         self.rows = rows.where(F.col("elem_id") < SAMPLE_ELEMENTS) if sampled else rows
-        self.attributes = scan.attributes
 
     def elements(self) -> DataFrame:
         """name, count, has_text, text_type, parents (sorted)."""
@@ -63,14 +62,18 @@ class Schema:
 
     def attribute_types(self) -> DataFrame:
         """element, attr, count, type, required, ord (first seen)."""
-        named = self.rows.select("doc_id", "elem_id", "name")
-        looked = _first(named, ["name"], SAMPLE_INSTANCES) if self.sampled else named
-        size = looked.groupBy(F.col("name").alias("element")).agg(F.count("*").alias("instances"))
-        own = self.attributes.select("doc_id", "elem_id", "attr_no", F.col("name").alias("attr"), "value").dropDuplicates(["doc_id", "elem_id", "attr"])
-        joined = looked.withColumnRenamed("name", "element").join(own, ["doc_id", "elem_id"])
-        out = joined.groupBy("element", "attr").agg(F.count("*").alias("count"), merge_types_column(F.collect_set(guess_type_column(F.col("value")))).alias("type"), F.min(F.struct("doc_id", "elem_id", "attr_no")).alias("seen"))
+        tagged = self.scan.tagged.select("doc_id", "elem_id", F.col("name").alias("element"), "attrs")
+        looked = _first(tagged.where(F.col("elem_id") < SAMPLE_ELEMENTS), ["element"], SAMPLE_INSTANCES) if self.sampled else tagged
+        # of attributes that repeat in an element the first counts; every element adds a row without attribute, to be counted itself
+        own = F.transform("attrs", lambda a, i: F.struct(a["name"].alias("attr"), a["value"].alias("value"), i.alias("no")))
+        once = F.filter(own, lambda a: F.array_position(F.col("attrs")["name"], a["attr"]) == a["no"] + 1)
+        itself = F.array(F.struct(F.lit(None).cast("string").alias("attr"), F.lit(None).cast("string").alias("value"), F.lit(-1).alias("no")))
+        dealt = looked.select("doc_id", "elem_id", "element", F.inline(F.concat(once, itself)))
+        out = dealt.groupBy("element", "attr").agg(F.count("*").alias("count"), merge_types_column(F.collect_set(guess_type_column(F.col("value")))).alias("type"), F.min(F.struct("doc_id", "elem_id", "no")).alias("seen"))
+        instances = F.max(F.when(F.col("attr").isNull(), F.col("count"))).over(Window.partitionBy("element"))
+        out = out.withColumn("instances", instances).where("attr is not null")
         order = F.row_number().over(Window.partitionBy("element").orderBy("seen"))
-        return out.join(size, "element").withColumn("ord", order).select("element", "attr", "count", "type", (F.col("count") == F.col("instances")).alias("required"), F.col("ord").cast("long").alias("ord"))
+        return out.withColumn("ord", order).select("element", "attr", "count", "type", (F.col("count") == F.col("instances")).alias("required"), F.col("ord").cast("long").alias("ord"))
 
     def roots(self) -> DataFrame:
         return self.elements().where(F.size("parents") == 0).select("name")

@@ -259,6 +259,16 @@ def test_schema(book):
     assert {tuple(r) for r in sampled.attribute_types().collect()} == {tuple(r) for r in s.attribute_types().collect()}
 
 
+def test_attribute_types_need_no_join(spark):
+    held = [(1, b'<a y="2" x="1"><b/><b x="1.5" x="no"/></a>'), (2, b'<a x="-3"><b x="2"/></a>')]
+    s = scan(spark.createDataFrame(held, "doc_id long, content binary"))
+    found = schema.Schema(s).attribute_types()
+    assert joins(found) == []
+    want = {("a", "y"): (1, "xs:positiveInteger", False, 1), ("a", "x"): (2, "xs:integer", True, 2), ("b", "x"): (2, "xs:decimal", False, 1)}
+    assert {(r.element, r.attr): (r["count"], r.type, r.required, r.ord) for r in found.collect()} == want
+    assert {tuple(r) for r in schema.Schema(s, sampled=True).attribute_types().collect()} == {tuple(r) for r in found.collect()}
+
+
 def test_single_occurrence_of_order_documents_joins_no_elements(spark):
     found = queries.q15_single_occurrence(spark, "/root/testdata/sf0.001")
     assert len(joins(found)) == 1  # of orders with their lines
