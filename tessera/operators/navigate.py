@@ -67,9 +67,12 @@ def computed_paths(elements: DataFrame) -> DataFrame:
     """doc_id, elem_id and path, from joins alone (the scan already carries the same path)."""
     n = F.row_number().over(Window.partitionBy("doc_id", "parent", "name").orderBy("elem_id"))
     numbered = elements.withColumn("part", F.concat("name", F.lit("["), F.when(F.col("parent") < 0, 1).otherwise(n), F.lit("]")))
-    up = ancestors(elements, elements).join(numbered.select("doc_id", F.col("elem_id").alias("ancestor_id"), "part"), ["doc_id", "ancestor_id"])
-    above = up.groupBy("doc_id", "elem_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ancestor_depth", "part"))), lambda x: x["part"]), "/").alias("above"))
-    return numbered.join(above, ["doc_id", "elem_id"], "left").select("doc_id", "elem_id", F.concat(F.lit("/"), F.when(F.col("above").isNotNull(), F.concat("above", F.lit("/"))).otherwise(""), "part").alias("path"))
+    up = numbered.select(F.col("doc_id").alias("__doc"), F.col("elem_id").alias("__above"), F.col("start").alias("__start"), F.coalesce("end", F.lit((1 << 63) - 1)).alias("__end"), F.col("depth").alias("__depth"), F.col("part").alias("__part"))
+    # the bounds on depth and start are implied; with them both sides read the same columns, so Spark scans once for both
+    holds = (F.col("doc_id") == F.col("__doc")) & (F.col("elem_id") > F.col("__above")) & (F.col("start") < F.col("__end")) & (F.col("start") >= F.col("__start")) & (F.col("depth") > F.col("__depth")) & (F.coalesce("end", F.lit((1 << 63) - 1)) > F.col("__start"))
+    pairs = numbered.join(up.hint("merge"), holds, "left").groupBy("doc_id", "elem_id", "start", "part")
+    above = F.transform(F.array_sort(F.collect_list(F.when(F.col("__depth").isNotNull(), F.struct("__depth", "__part")))), lambda x: x["__part"])
+    return pairs.agg(above.alias("above")).select("doc_id", "elem_id", F.concat(F.lit("/"), F.array_join(F.concat("above", F.array("part")), "/")).alias("path"))
 
 
 def node_info(elements: DataFrame, attributes: DataFrame, of: DataFrame | None = None) -> DataFrame:

@@ -202,6 +202,16 @@ def test_descendants_broadcast_no_table_of_elements(unkept):
     assert sorted((r.ancestor_id, r.elem_id) for r in pairs.where("doc_id = 2").collect()) == [(0, 1), (0, 2), (0, 3), (2, 3)]
 
 
+def test_computed_paths_broadcast_no_table_of_elements(spark, unkept):
+    found = navigate.computed_paths(unkept.elements)
+    assert joins(found) == ["SortMergeJoin"]
+    assert sorted(rows(found, "doc_id", "path")) == sorted(rows(unkept.elements, "doc_id", "path"))
+    broken = scan(spark.createDataFrame([(1, b"<a><b><c/><b><c/></x></b>"), (2, b"<a/><a><b/></a>"), (None, b"<a><b/></a>")], "doc_id long, content binary")).elements
+    kept = broken.where("doc_id is not null")
+    assert sorted(rows(navigate.computed_paths(kept), "doc_id", "elem_id", "path")) == sorted(rows(kept, "doc_id", "elem_id", "path"))
+    assert navigate.computed_paths(broken).count() == broken.count()
+
+
 def test_leaves_need_no_join(unkept):
     found = navigate.leaves(unkept.elements)
     assert joins(found) == [] and found.columns == unkept.elements.columns
