@@ -285,6 +285,11 @@ def test_single_occurrence_of_order_documents_joins_no_elements(spark):
     assert rows(found, "parent", "child", "min", "max") == [("Order", "Lines", 1, 1)]
 
 
+def test_bodies_of_order_documents_are_never_broadcast(spark):
+    assert joins(queries.q15_single_occurrence(spark, "/root/testdata/sf0.001")) == ["SortMergeJoin"]
+    assert joins(queries.order_documents(spark, "/root/testdata/sf0.001")) == ["SortMergeJoin"]
+
+
 def test_child_bounds_need_no_join(spark, unkept):
     found = schema.Schema(unkept).children()
     assert joins(found) == []
