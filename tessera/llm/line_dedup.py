@@ -25,71 +25,102 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import join_hot, materialize, slices
+from tessera.llm.substring_dedup import words_of
 
 DEPTH, MIN_DOCS, AGREE, FIXED = 3, 5, 0.8, 0.5
 FIELD = "<*>"
-_MAYBE = re.compile(r"[0-9@]|://|www\.")
+_DIGIT = re.compile(r"[0-9]")
 _VARIABLE = re.compile(r"[0-9]|://|^www\.|^\S+@\S+\.\S+$")
-_MASK = (1 << 31) - 1
+_FIELD_CODE = words_of(FIELD.encode())[1][0]
+
+
+def _maybe(line: str) -> bool:
+    """Whether a line may hold a field."""
+    return _DIGIT.search(line) is not None or "@" in line or "://" in line or "www." in line
 
 
 def tokens_of(line: str) -> list[str]:
     words = line.split()
-    return [FIELD if _VARIABLE.search(w) else w for w in words] if _MAYBE.search(line) else words
+    return [FIELD if _VARIABLE.search(w) else w for w in words] if _maybe(line) else words
 
 
 def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def token_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens of each line (joined by spaces) begin, and the tokens' hashes; those of fields are -1."""
+    raws = [line.encode() for line in lines]
+    starts, codes = words_of(b" ".join(raws))
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)])).astype(np.int32)
+    return bounds, np.where(codes == _FIELD_CODE, -1, codes >> np.uint64(33)).astype(np.int32)
+
+
+def _codes(line: str) -> tuple[int, int, int, str] | None:
+    """Hashes of the leaf, the line with its fields masked and the line as it is, and the tokens joined by spaces; None of a line without any."""
+    words = line.split()
+    if not words:
+        return None
+    parts = tokens_of(line) if _maybe(line) else words
+    joined = " ".join(parts)
+    code = _hash(joined)
+    return _hash(f"{len(parts)} {' '.join(parts[:DEPTH])}"), code, code if parts is words or parts == words else _hash(" ".join(words)), joined
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line (kind 0) and one with the tokens of each distinct line of a batch (kind 1)."""
-    token_hash: dict[str, int] = {FIELD: -1}
     for whole in batches:
         for batch in slices(whole, "text"):
             known: dict[int, int] = {}
-            rows, tokens = [], []
-            for doc, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text").to_pylist()):
-                leaves, own = set(), set()
+            lines: dict[str, tuple[int, int, int] | None] = {}  # those that were seen
+            rows: list[tuple] = []
+            sizes, fresh = [], []
+            for text in batch.column("text").to_pylist():
+                leaves, own, before = set(), set(), len(rows)
                 for number, line in enumerate(text.split("\n")) if text else ():
-                    parts = tokens_of(line)
-                    if not parts:
-                        continue
-                    leaf, code, raw = _hash(f"{len(parts)} {' '.join(parts[:DEPTH])}"), _hash(" ".join(parts)), _hash(" ".join(line.split()))
-                    rows.append((doc, mark, number, leaf, code, raw, leaf not in leaves, code not in own))
+                    if line in lines:
+                        codes = lines[line]
+                        if codes is None:
+                            continue
+                        leaf, code, raw = codes
+                    else:
+                        codes = _codes(line)
+                        if codes is None:
+                            lines[line] = None
+                            continue
+                        leaf, code, raw, joined = codes
+                        lines[line] = leaf, code, raw
+                        if code not in known:
+                            known[code] = leaf
+                            fresh.append(joined)
+                    rows.append((number, leaf, code, raw, leaf not in leaves, code not in own))
                     leaves.add(leaf)
                     own.add(code)
-                    if code not in known:
-                        known[code] = leaf
-                        if len(token_hash) > 400_000:
-                            token_hash = {FIELD: -1}
-                        hashes = []
-                        for w in parts:
-                            if (h := token_hash.get(w)) is None:
-                                h = token_hash[w] = xxhash.xxh32_intdigest(w.encode()) & _MASK
-                            hashes.append(h)
-                        tokens.append(hashes)
+                sizes.append(len(rows) - before)
             n, m = len(rows), len(known)
-            doc, mark, number, leaf, code, raw, in_leaf, in_line = zip(*rows) if rows else [()] * 8
-            blank = [None] * m
+            number, leaf, code, raw, in_leaf, in_line = zip(*rows) if rows else [()] * 6
+            document = pa.array(np.concatenate([np.repeat(np.arange(len(sizes)), sizes), np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n)
+            blank = lambda kind: pa.nulls(m, kind)
+            listed = pa.ListArray.from_arrays(*map(pa.array, token_hashes(fresh)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([0] * n + [1] * m, pa.int32()),
-                    pa.array([*doc, *blank], pa.int64()),
-                    pa.array([*mark, *blank], pa.int64()),
-                    pa.array([*number, *blank], pa.int32()),
-                    pa.array([*leaf, *known.values()], pa.int64()),
-                    pa.array([*code, *known], pa.int64()),
-                    pa.array([*raw, *blank], pa.int64()),
-                    pa.array([*in_leaf, *blank], pa.bool_()),
-                    pa.array([*in_line, *blank], pa.bool_()),
-                    pa.array([None] * n + tokens, pa.list_(pa.int32())),
+                    pa.array(np.repeat(np.array([0, 1], np.int32), [n, m])),
+                    batch.column("doc_id").take(document),
+                    batch.column("mark").take(document),
+                    pa.concat_arrays([pa.array(number, pa.int32()), blank(pa.int32())]),
+                    pa.array(np.array([*leaf, *known.values()], np.int64)),
+                    pa.array(np.array([*code, *known], np.int64)),
+                    pa.concat_arrays([pa.array(raw, pa.int64()), blank(pa.int64())]),
+                    pa.concat_arrays([pa.array(in_leaf, pa.bool_()), blank(pa.bool_())]),
+                    pa.concat_arrays([pa.array(in_line, pa.bool_()), blank(pa.bool_())]),
+                    pa.concat_arrays([pa.nulls(n, listed.type), listed]),
                 ],
                 ["kind", "doc_id", "mark", "number", "leaf", "code", "raw", "in_leaf", "in_line", "tokens"],
             )

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+
 from tessera.llm import line_dedup as ld
 
 
@@ -86,3 +88,21 @@ def test_lines_of_fields_that_recur_word_for_word(spark):
     for i in range(6):
         assert got[i].text == f"{'abcdef'[i]}own\n2023-02-0{i} 555 77{i}\n" and got[i].n_dropped == len(often)
     assert all(got[10 + i].n_dropped == 0 for i in range(ld.MIN_DOCS - 1))
+
+
+def test_tokens_of_many_lines_are_hashed_together(monkeypatch):
+    lines = ["a bc <*> a", "<*>", "é\x85x bc", "w" * 200_000 + " bc"]
+    bounds, hashes = ld.token_hashes(lines)
+    assert bounds.tolist() == [0, 4, 5, 7, 9] and hashes[[2, 4]].tolist() == [-1, -1]
+    assert hashes[0] == hashes[3] and hashes[1] == hashes[6] == hashes[8] and len(set(hashes.tolist())) == 5 and (hashes[[0, 1, 5, 7]] >= 0).all()
+    assert ld.token_hashes([])[0].tolist() == [0]
+    seen, whole = [], ld._codes
+    monkeypatch.setattr(ld, "_codes", lambda line: seen.append(line) or whole(line))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, None, 3], "mark": [5, 6, 7], "text": ["a 1\nb\n\nb", "b\n\na 1", None]})
+    (got,) = ld._parse(iter([batch]))
+    assert sorted(seen) == ["", "a 1", "b"]  # a line is taken apart once
+    assert list(zip(*(got.column(c).to_pylist() for c in ("kind", "doc_id", "mark", "number", "in_leaf", "in_line", "tokens")))) == [
+        *((0, 1, 5, k, first, first, None) for k, first in ((0, True), (1, True), (3, False))),
+        *((0, None, 6, k, True, True, None) for k in (0, 2)),
+        *((1, None, None, None, None, None, t.tolist()) for t in (ld.token_hashes(["a <*>"])[1], ld.token_hashes(["b"])[1])),
+    ]
